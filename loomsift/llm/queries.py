@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomsift.llm import canon
+from loomsift.llm import canon, mojibake
 from loomsift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,5 +32,23 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return canon.collapsed(_p3_assigned(spark, d))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_records": p3_records}
+def turn_texts(df: DataFrame, name: str, turns: str, text: str) -> DataFrame:
+    """(table_name, line_no, turn, text) of every turn that has a text."""
+    each = df.select("line_no", F.posexplode(turns).alias("turn", "m"))
+    return each.select(F.lit(name).alias("table_name"), "line_no", F.col("turn").cast("bigint"), F.col("m")[text].alias("text")).where("text is not null")
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged texts, restored as far as they can be."""
+    chat = turn_texts(table(spark, d, "clean"), "clean", "messages", "content")
+    answers = table(spark, d, "alpaca_clean").select(F.lit("alpaca_clean").alias("table_name"), "line_no", F.lit(0).cast("bigint").alias("turn"), F.col("output").alias("text"))
+    return mojibake.damaged_texts(chat.unionByName(answers.where("text is not null")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of which any part was decoded with a wrong encoding."""
+    return p5_restored(spark, d).select("table_name", "line_no", "turn").distinct()
+
+
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_restored": p5_restored}
 ORACLE: dict[str, str] = {}
