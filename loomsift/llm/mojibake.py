@@ -12,6 +12,7 @@ Null and empty texts are no cases. Texts of any length are scanned whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -224,6 +225,36 @@ def _single(text: str) -> str:
     return re.sub(r"[À-ÿ÷×¸¨]+", decode, text)
 
 
+#: Share of each letter in Russian text, in per mille, а to я then ё. Fixed values.
+_RUSSIAN = (80, 16, 45, 17, 30, 85, 9, 16, 74, 12, 35, 44, 32, 67, 110, 28, 47, 55, 63, 26, 3, 10, 5, 14, 7, 4, 1, 19, 17, 3, 6, 20, 1)
+_WEIGHT = {c: math.log(n) for c, n in zip([*map(chr, range(0x430, 0x450)), "ё"], _RUSSIAN, strict=True)}
+_CYRILLIC_WORD = re.compile(r"[Ѐ-џ]{2,}")
+
+
+def _likeness(text: str) -> float:
+    letters = [_WEIGHT[c] for c in text.lower() if c in _WEIGHT]
+    return sum(letters) / len(letters) if letters else -9.0
+
+
+def _cyrillic_swap(text: str) -> str:
+    """Text of one Cyrillic single-byte encoding read as another: its letters are unlikely as they stand."""
+    words = "".join(_CYRILLIC_WORD.findall(text))
+    if len(words) < 12:
+        return text
+    own, best, plain = _likeness(words), 0.0, text
+    if own > 3.2:
+        return text
+    for read, meant in (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251")):
+        try:
+            gain = _likeness(words.encode(read).decode(meant)) - own
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+        if gain > max(best, 0.4):
+            best = gain
+            plain = _CYRILLIC_WORD.sub(lambda m, r=read, t=meant: m.group().encode(r, "replace").decode(t, "replace"), re.sub(r"(?<![Ѐ-џ])[Ѐ-џ](?![Ѐ-џ])", lambda m, r=read, t=meant: m.group().encode(r, "replace").decode(t, "replace"), text))
+    return plain
+
+
 def repair(text: str, passes: int = 3) -> tuple[str, bool, bool]:
     """(restored text, whether any part was damaged, whether some damage remains)."""
     if text.isascii() or not _SUSPECT.search(text):
@@ -243,6 +274,8 @@ def repair(text: str, passes: int = 3) -> tuple[str, bool, bool]:
         text = "".join(parts) + text[at:]
     if (plain := _single(text)) != text:
         damaged, text = True, plain
+    if (plain := _cyrillic_swap(text)) != text:
+        damaged, text = True, plain
     if _CONTROL.search(text):  # single bytes of the encoding below, read as Latin-1
         damaged = True
         text = _CONTROL.sub(lambda m: m.group().encode("latin-1").decode("cp1252", "replace"), text)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.llm import canon, mojibake
+from loomsift.llm import canon, mojibake, pii
 from loomsift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,5 +50,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_restored(spark, d).select("table_name", "line_no", "turn").distinct()
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_restored": p5_restored}
+def _p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    chat = turn_texts(table(spark, d, "clean"), "clean", "messages", "content")
+    return chat.unionByName(turn_texts(table(spark, d, "sharegpt_clean"), "sharegpt_clean", "conversations", "value"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of personal information in each message."""
+    return pii.kinds_found(_p1_texts(spark, d), table(spark, d, "name_list")).distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that hold personal information, with typed placeholders in its place."""
+    return pii.redacted(_p1_texts(spark, d), table(spark, d, "name_list"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_restored": p5_restored}
 ORACLE: dict[str, str] = {}
