@@ -242,7 +242,7 @@ def _cyrillic_swap(text: str) -> str:
     if len(words) < 12:
         return text
     own, best, plain = _likeness(words), 0.0, text
-    if own > 3.2:
+    if own > 3.4:
         return text
     for read, meant in (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251")):
         try:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.llm import canon, mojibake, pii
+from loomsift.llm import canon, mojibake, pii, sentences
 from loomsift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,5 +65,10 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(_p1_texts(spark, d), table(spark, d, "name_list"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_restored": p5_restored}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of every document."""
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_restored": p5_restored, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
