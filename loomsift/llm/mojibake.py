@@ -225,6 +225,35 @@ def _single(text: str) -> str:
     return re.sub(r"[À-ÿ÷×¸¨]+", decode, text)
 
 
+_HALF_RUN = re.compile(r"[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{6,}")
+
+
+def _double(text: str) -> str:
+    """Text of a two-byte encoding read as Latin-1: runs of upper-half characters that decode to common ideographs."""
+
+    def decode(m: re.Match[str]) -> str:
+        table = _byte_map("cp1252")
+        codes = [table.get(c, ord(c)) for c in m.group()]
+        try:
+            bytes(codes).decode()
+            return m.group()  # UTF-8 after all
+        except (UnicodeDecodeError, ValueError):
+            pass
+        if max(codes) > 255:
+            return m.group()
+        for encoding in ("gb2312", "shift_jis", "euc_jp", "big5", "euc_kr"):
+            for cut in (len(codes), len(codes) - 1):
+                try:
+                    plain = bytes(codes[:cut]).decode(encoding)
+                except UnicodeDecodeError:
+                    continue
+                if sum(c >= "⺀" for c in plain) >= 0.9 * len(plain):
+                    return plain + m.group()[cut:]
+        return m.group()
+
+    return _HALF_RUN.sub(decode, text)
+
+
 #: Share of each letter in Russian text, in per mille, а to я then ё. Fixed values.
 _RUSSIAN = (80, 16, 45, 17, 30, 85, 9, 16, 74, 12, 35, 44, 32, 67, 110, 28, 47, 55, 63, 26, 3, 10, 5, 14, 7, 4, 1, 19, 17, 3, 6, 20, 1)
 _WEIGHT = {c: math.log(n) for c, n in zip([*map(chr, range(0x430, 0x450)), "ё"], _RUSSIAN, strict=True)}
@@ -260,6 +289,8 @@ def repair(text: str, passes: int = 3) -> tuple[str, bool, bool]:
     if text.isascii() or not _SUSPECT.search(text):
         return text, False, False
     damaged = False
+    if (plain := _single(text)) != text or (plain := _double(text)) != text:
+        damaged, text = True, plain
     for _ in range(passes):
         spans = _narrow(text)
         if not spans:
@@ -272,8 +303,6 @@ def repair(text: str, passes: int = 3) -> tuple[str, bool, bool]:
             parts += [text[at:s], plain]
             at = e
         text = "".join(parts) + text[at:]
-    if (plain := _single(text)) != text:
-        damaged, text = True, plain
     if (plain := _cyrillic_swap(text)) != text:
         damaged, text = True, plain
     if _CONTROL.search(text):  # single bytes of the encoding below, read as Latin-1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.llm import canon, mojibake, pii, sentences
+from loomsift.llm import canon, defects, mojibake, pii, sentences
 from loomsift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,10 +65,27 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(_p1_texts(spark, d), table(spark, d, "name_list"))
 
 
+def p4_answers(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, line_no, field_name, question, extra, answer) of every answer."""
+    alpaca = table(spark, d, "alpaca_clean").select(
+        F.lit("alpaca_clean").alias("table_name"), "line_no", F.lit("output").alias("field_name"), F.coalesce("instruction", F.lit("")).alias("question"), F.col("input").alias("extra"), F.col("output").alias("answer")
+    )
+    pairs = table(spark, d, "preference_clean").select(
+        F.lit("preference_clean").alias("table_name"), "line_no", F.col("prompt").alias("question"), F.lit(None).cast("string").alias("extra"),
+        F.explode(F.array(*(F.struct(F.lit(x).alias("field_name"), F.col(x).alias("answer")) for x in ("chosen", "rejected")))).alias("a"),
+    )
+    return alpaca.unionByName(pairs.select("table_name", "line_no", "a.field_name", "question", "extra", "a.answer"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective answers with their defects."""
+    return defects.defects(p4_answers(spark, d)).distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units of every document."""
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_restored": p5_restored, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
