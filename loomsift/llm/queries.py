@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.llm import canon, defects, mojibake, pii, sentences
+from loomsift.llm import canon, defects, mojibake, overlap, pii, sentences
 from loomsift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,32 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(_p1_texts(spark, d), table(spark, d, "name_list"))
 
 
+def p2_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of both sides: first user messages of clean, instructions of alpaca_clean."""
+    role = lambda m: F.regexp_replace(F.lower(m["role"]), "\\s+", "") == "user"
+    chat = overlap.sided(table(spark, d, "clean"), "clean", F.get(F.filter("messages", role), F.lit(0))["content"])
+    return chat.unionByName(overlap.sided(table(spark, d, "alpaca_clean"), "alpaca_clean", F.col("instruction")))
+
+
+def _p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = p2_rows(spark, d)
+    return overlap.row_pairs(rows, overlap.text_pairs(rows))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of rows, one in training and one held out, with equal or near-equal texts."""
+    a, b = F.col("train_line"), F.col("eval_line")
+    return _p2_pairs(spark, d).select("table_name", F.least(a, b).alias("line_a"), F.greatest(a, b).alias("line_b")).distinct()
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping pairs and held-out rows by table, split and source."""
+    pairs = _p2_pairs(spark, d)
+    return pairs.groupBy("table_name", "eval_split", "eval_source", "train_source").agg(
+        F.count("*").alias("pairs"), F.countDistinct("eval_line").alias("eval_rows"), F.countDistinct("train_line").alias("train_rows"), F.count_if(F.col("distance") == 0).alias("exact_pairs")
+    )
+
+
 def p4_answers(spark: SparkSession, d: str) -> DataFrame:
     """(table_name, line_no, field_name, question, extra, answer) of every answer."""
     alpaca = table(spark, d, "alpaca_clean").select(
@@ -87,5 +113,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
