@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.llm import canon, defects, mojibake, overlap, pii, sentences
+from loomsift.llm import canon, defects, mixing, mojibake, overlap, packing, pii, sentences, tokens
+from loomsift.session import written
 from loomsift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,10 +109,39 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return defects.defects(p4_answers(spark, d)).distinct()
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each text or piece, for each capacity."""
+    sized = tokens.sized(table(spark, d, "documents").select("doc_id", "text"))
+    return packing.packed(written(sized, "sizes"), packing.pack_capacities(table(spark, d, "pack_sizes")))
+
+
+def p6_room(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used and room wasted, for each capacity."""
+    return packing.room_left(p6_packing(spark, d), packing.pack_capacities(table(spark, d, "pack_sizes")))
+
+
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, d, "documents")
+    keyed = documents.select("doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
+    targets = mixing.read_targets(table(spark, d, "mix_targets"))
+    wanted = keyed.where(F.col("source").isin(list(targets)))
+    return mixing.mixture(tokens.sized(wanted), targets)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen texts with their repeats."""
+    return _p7(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual share of each source."""
+    return _p7(spark, d)[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units of every document."""
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_records": p3_records, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_packing": p6_packing, "p6_room": p6_room, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
