@@ -33,6 +33,10 @@ BLOCK_WORDS = 4_000_000
 #: Longest match; blocks are sorted by so many words.
 DEPTH = 64
 TOLERANCE = 5  # one word in so many may differ
+#: A match is rare at so many occurrences in a block, to begin with.
+FEW = 64
+#: Matches wanted beyond the edits a text can suffer and one.
+SPARE = 0
 _PARTS = ("keys", "doc_of", "words", "starts", "vocabulary", "h1", "h2")
 
 
@@ -152,37 +156,39 @@ class Block:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def candidates(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, document) pairs that include every pair within the tolerance."""
+    def candidates(self, words: np.ndarray, starts: np.ndarray, rare: int = FEW, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
+        """(text, document) pairs that include every pair within the tolerance.
+
+        Of s disjoint matches at least s less the allowed edits survive in a true partner, so only
+        documents with that many hits are kept. A text is searched again with a higher bound while
+        it has fewer than ``spare`` matches beyond its edits; words alone are the last resort.
+        """
         sizes = np.diff(starts)
+        documents = len(self.h1)
         need = sizes // (TOLERANCE - 1) + 1
+        lengths = np.diff(self.starts) - 1
         which = np.flatnonzero(sizes > 0)
-        rare = 4
-        pairs: list[np.ndarray] = []
+        kept: list[np.ndarray] = []
         while len(which):
             text, low, high = self.matches(words, starts, which, rare)
             counts = np.bincount(text, minlength=len(sizes))
-            enough = counts[which] >= need[which]
-            if rare >= self.n:
-                enough[:] = True
-            order = np.lexsort((high - low, text))
-            text, low, high = text[order], low[order], high[order]
-            nth = np.arange(len(text)) - np.concatenate([[0], np.cumsum(counts)])[text]
+            last = rare >= self.n
+            enough = counts[which] >= need[which] + (0 if last else spare)
             served = np.zeros(len(sizes), bool)
-            served[which[enough]] = True
-            keep = served[text] & (nth < need[text]) & (high > low)
-            text, low, high = text[keep], low[keep], high[keep]
+            served[which[enough | last]] = True
+            keep = served[text] & (high > low)
+            text, low, width = text[keep], low[keep], (high - low)[keep]
             if len(text):
-                width = high - low
-                rows = np.repeat(low - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-                pairs.append(np.unique(np.repeat(text, width) * len(self.h1) + self.doc_of[rows]))
-            which = which[~enough]
-            rare *= 8
-        merged = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        text, doc = merged // len(self.h1), merged % len(self.h1)
-        m = np.diff(self.starts)[doc] - 1
-        close = np.abs(sizes[text] - m) * TOLERANCE <= np.maximum(sizes[text], m)
-        return text[close], doc[close]
+                rows = np.repeat(low - (np.cumsum(width) - width), width) + np.arange(width.sum())
+                pair, hits = np.unique(np.repeat(text, width) * documents + self.doc_of[rows], return_counts=True)
+                t, d = pair // documents, pair % documents
+                most = np.maximum(sizes[t], lengths[d]) // TOLERANCE
+                true = (hits >= counts[t] - most) & (np.abs(sizes[t] - lengths[d]) <= most)
+                kept.append(pair[true])
+            which = which[~(enough | last)]
+            rare *= 4
+        merged = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        return merged // documents, merged % documents
 
     def text(self, doc: int) -> np.ndarray:
         return self.words[self.starts[doc] : self.starts[doc + 1] - 1]
