@@ -1,0 +1,328 @@
+"""JSON lines in five record shapes: reading, numbering, parsing and writing back.
+
+Shapes are told apart line by line. Everything after the parser is column expressions; the
+parser itself is Python in Arrow batches, since a missing field, a null and a value of the wrong
+type are three different findings. Lines that do not parse keep their text and an error. Blank
+lines are counted but hold no record.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomsift.operators.records import MESSAGES, SPEAKERS
+
+FORMATS = ("auto", "openai-chat", "sharegpt", "prompt-completion", "alpaca", "preference")
+#: Deeper values are refused. A documented limit of the parser.
+MOST_DEPTH = 500
+SCHEMA = f"file string, line_no bigint, raw string, parse_error string, source_format string, field_errors array<string>, tool_errors array<string>, split string, messages {MESSAGES}, rejected {MESSAGES}, prompt_len int"
+_TURN = pa.struct([("role", pa.string()), ("content", pa.string())])
+_ARROW = pa.schema(
+    [("file", pa.string()), ("line_no", pa.int64()), ("raw", pa.string()), ("parse_error", pa.string()), ("source_format", pa.string()), ("field_errors", pa.list_(pa.string())), ("tool_errors", pa.list_(pa.string())), ("split", pa.string()), ("messages", pa.list_(_TURN)), ("rejected", pa.list_(_TURN)), ("prompt_len", pa.int32())]
+)
+
+
+def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(file, line_no, raw): the lines of text files with their numbers, counted from 1, blank ones included.
+
+    Lines are counted by block, blocks are placed by their counts: nothing passes through one task.
+    """
+    text = spark.read.text(paths if isinstance(paths, list) else [paths])
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    placed = blocks.select("file", "block", "first", before.alias("before"))
+    return rows.join(placed, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "raw")
+
+
+def describe(error: Exception) -> str:
+    if isinstance(error, RecursionError):
+        return "nested too deeply to parse"
+    if isinstance(error, json.JSONDecodeError):
+        return f"{error.msg} at column {error.colno}"
+    return "holds a value that the parser refuses"
+
+
+def _turns(value: object) -> bool:
+    return isinstance(value, list) and any(isinstance(t, dict) and t.keys() & {"from", "value", "role", "content"} for t in value)
+
+
+def detect(record: object) -> str:
+    """The shape of a record; whatever no other shape claims is a chat."""
+    if not isinstance(record, dict):
+        return "openai-chat"
+    has = record.keys()
+    talk = record.get("conversations", record.get("conversation"))
+    sides = "chosen" in has and "rejected" in has
+    # beside two full sides, a list of objects without turns is metadata
+    metadata = isinstance(record.get("rejected"), list) and _turns(record.get("chosen")) and isinstance(talk, list) and talk and all(isinstance(t, dict) for t in talk) and not _turns(talk)
+    if isinstance(talk, list) and "messages" not in has and not metadata:
+        return "sharegpt"
+    spoken = has & {"conversations", "conversation"}
+    if metadata or (sides and "messages" in has and not spoken) or (has & {"chosen", "rejected"} and not spoken and "messages" not in has):
+        return "preference"
+    if spoken or "messages" in has:
+        return "openai-chat"
+    if has & {"prompt", "completion"}:
+        return "prompt-completion"
+    if has & {"instruction", "output"} and "text" not in has:
+        return "alpaca"
+    return "openai-chat"
+
+
+def _message(value: object) -> dict:
+    value = value if isinstance(value, dict) else {}
+    role, content = value.get("role"), value.get("content")
+    return {"role": role if isinstance(role, str) else None, "content": content if isinstance(content, str) else None}
+
+
+def _half(value: object, role: str) -> list[dict] | None:
+    if isinstance(value, str):
+        return [{"role": role, "content": value}]
+    return [_message(x) for x in value] if isinstance(value, list) else None
+
+
+def _tool_errors(record: dict) -> list[str]:
+    """Faults of tool definitions and calls."""
+    errors: list[str] = []
+    tools = record.get("tools")
+    if isinstance(tools, str):
+        try:
+            tools = json.loads(tools)
+        except ValueError:
+            errors.append("tools are no JSON")
+            tools = None
+    declared = None
+    if tools is not None:
+        if not isinstance(tools, list):
+            errors.append("tools are no list")
+        else:
+            declared = set()
+            for t in tools:
+                f = t.get("function") if isinstance(t, dict) else None
+                if not isinstance(f, dict) or not isinstance(f.get("name"), str) or not f["name"]:
+                    errors.append("a tool has no name")
+                else:
+                    declared.add(f["name"])
+                    if f.get("parameters") is not None and not isinstance(f["parameters"], dict):
+                        errors.append("parameters of a tool are no object")
+    if "parallel_tool_calls" in record and not isinstance(record["parallel_tool_calls"], bool | None):
+        errors.append("parallel_tool_calls is no boolean")
+    seen: set[str] = set()
+    for m in record.get("messages") or ():
+        calls = m.get("tool_calls") if isinstance(m, dict) else None
+        if calls is None:
+            continue
+        if m.get("role") != "assistant":
+            errors.append("only the assistant calls tools")
+        if not isinstance(calls, list):
+            errors.append("calls are no list")
+            continue
+        if not calls:
+            errors.append("an empty list of calls")
+        for c in calls:
+            f = c.get("function") if isinstance(c, dict) else None
+            if not isinstance(f, dict) or not isinstance(f.get("name"), str) or not f["name"]:
+                errors.append("a call has no function name")
+                continue
+            if declared is not None and f["name"] not in declared:
+                errors.append("a call of an undeclared tool")
+            if c.get("id") is not None:
+                if not isinstance(c["id"], str) or not c["id"]:
+                    errors.append("the id of a call is no text")
+                elif c["id"] in seen:
+                    errors.append("the id of a call repeats")
+                else:
+                    seen.add(c["id"])
+            arguments = f.get("arguments")
+            if isinstance(arguments, str):
+                try:
+                    arguments = json.loads(arguments)
+                except ValueError:
+                    arguments = None
+            if not isinstance(arguments, dict):
+                errors.append("arguments of a call are no object")
+    return errors
+
+
+def normalize(record: object, shape: str) -> dict:
+    """messages, rejected, prompt_len, field_errors and tool_errors of a record of the shape."""
+    out: dict = {"messages": None, "rejected": None, "prompt_len": None, "field_errors": [], "tool_errors": []}
+    if not isinstance(record, dict):
+        out["field_errors"] = ["the line is no object"]
+        return out
+    wrong = out["field_errors"]
+    if shape == "openai-chat":
+        if isinstance(record.get("messages"), list):
+            out["messages"] = [_message(m) for m in record["messages"]]
+        elif "messages" in record:
+            wrong.append("messages are no list")
+        out["tool_errors"] = _tool_errors(record)
+    elif shape == "sharegpt":
+        talk = record.get("conversations", record.get("conversation"))
+        if isinstance(talk, list):
+            head = [{"role": "system", "content": record["system"]}] if isinstance(record.get("system"), str) and record["system"] else []
+            body = []
+            for t in talk:
+                who = t.get("from") if isinstance(t, dict) else None
+                value = t.get("value") if isinstance(t, dict) else None
+                role = "assistant" if who == "function_call" else SPEAKERS.get(who, who) if isinstance(who, str) else None
+                body.append({"role": role, "content": value if isinstance(value, str) else None})
+            out["messages"] = head + body
+    elif shape == "prompt-completion":
+        a, b = _half(record.get("prompt"), "user"), _half(record.get("completion"), "assistant")
+        wrong += [f"{name} is missing or no text or list" for name, x in (("prompt", a), ("completion", b)) if x is None]
+        if not wrong:
+            out["messages"] = a + b
+    elif shape == "alpaca":
+        wrong += [f"{name} is missing or no text" for name in ("instruction", "output") if not isinstance(record.get(name), str)]
+        extra, system, history = record.get("input"), record.get("system"), record.get("history")
+        wrong += [f"{name} is no text" for name, x in (("input", extra), ("system", system)) if x is not None and not isinstance(x, str)]
+        if history is not None and not (isinstance(history, list) and all(isinstance(h, list) and len(h) == 2 and all(isinstance(x, str) for x in h) for h in history)):
+            wrong.append("history is no list of pairs")
+        if not wrong:
+            asked = record["instruction"] + ("\n\n" + extra if extra else "")
+            past = [m for h in history or () for m in ({"role": "user", "content": h[0]}, {"role": "assistant", "content": h[1]})]
+            out["messages"] = ([{"role": "system", "content": system}] if system else []) + past + [{"role": "user", "content": asked}, {"role": "assistant", "content": record["output"]}]
+    elif shape == "preference":
+        a, b = _half(record.get("chosen"), "assistant"), _half(record.get("rejected"), "assistant")
+        told = record.get("prompt")
+        p = _half(told, "user") if told is not None else None
+        wrong += [f"{name} is missing or no text or list" for name, x in (("chosen", a), ("rejected", b)) if x is None]
+        if told is not None and p is None:
+            wrong.append("prompt is no text or list")
+        if not wrong:
+            shared = 0
+            while shared < min(len(a), len(b)) - 1 and a[shared] == b[shared]:
+                shared += 1
+            if p is None or (shared and a[:shared] == p):  # a prompt that both sides repeat is their head
+                out |= {"messages": a, "rejected": b[shared:], "prompt_len": shared}
+            else:
+                out |= {"messages": p + a, "rejected": b, "prompt_len": len(p)}
+    else:
+        raise KeyError(shape)
+    return out
+
+
+def _depth_ok(raw: str) -> bool:
+    depth = most = 0
+    for c in raw:
+        depth += (c in "[{") - (c in "]}")
+        most = max(most, depth)
+        if most > MOST_DEPTH:
+            return False
+    return True
+
+
+def parse_line(raw: str, shape: str = "auto") -> dict:
+    try:
+        if raw.count("[") + raw.count("{") > MOST_DEPTH and not _depth_ok(raw):
+            raise RecursionError
+        record = json.loads(raw)
+    except (ValueError, RecursionError) as e:
+        return {"parse_error": describe(e), "source_format": None, "messages": None, "rejected": None, "prompt_len": None, "field_errors": [], "tool_errors": []}
+    found = detect(record) if shape == "auto" else shape
+    return {"parse_error": None, "source_format": found} | normalize(record, found)
+
+
+def _scan(shape: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raws = b.column(2).to_pylist()
+            parsed = [parse_line(x, shape) for x in raws]
+            columns = [b.column(0), b.column(1), b.column(2)]
+            for f in list(_ARROW)[3:]:
+                columns.append(pa.array([_clean(p.get(f.name)) for p in parsed], f.type))
+            yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+    return run
+
+
+def _clean(value: object) -> object:
+    """Lone surrogates, legal in JSON but not in UTF-8, become question marks."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-8", "replace").decode()
+    if isinstance(value, list):
+        return [_clean(x) for x in value]
+    if isinstance(value, dict):
+        return {k: _clean(v) for k, v in value.items()}
+    return value
+
+
+def parse(lines: DataFrame, shape: str = "auto") -> DataFrame:
+    """Canonical records of lines (file, line_no, raw); blank lines are left out."""
+    if shape not in FORMATS:
+        raise KeyError(shape)
+    some = lines.select("file", "line_no", "raw").where(F.col("raw").isNotNull() & F.col("raw").rlike(r"\S"))
+    return some.mapInArrow(_scan(shape), SCHEMA)
+
+
+def restored(raw: str, shape: str, messages: list[dict], rejected: list[dict] | None, prompt_len: int | None) -> str:
+    """The line with repaired messages, in its own shape and field order."""
+    record = json.loads(raw)
+    texts = [dict(m) for m in messages]
+    if shape == "openai-chat":
+        old = [m for m in record["messages"] if isinstance(m, dict)]
+        record["messages"] = [o | {"content": t["content"]} for o, t in zip(old, texts, strict=True)] if len(old) == len(texts) else texts
+    elif shape == "sharegpt":
+        key = "conversations" if "conversations" in record else "conversation"
+        if isinstance(record.get("system"), str) and record["system"] and texts and texts[0]["role"] == "system":
+            record["system"] = texts.pop(0)["content"]
+        old = record[key]
+        names = {v: k for k, v in SPEAKERS.items() if k in ("human", "gpt", "system", "tool")}
+        same = len(old) == len(texts)
+        record[key] = [(o if same else {"from": names.get(t["role"], t["role"])}) | {"value": t["content"]} for o, t in zip(old if same else texts, texts, strict=True)]
+    elif shape == "prompt-completion":
+        cut = len(texts)
+        while cut and texts[cut - 1]["role"] == "assistant":
+            cut -= 1
+        for name, part in (("prompt", texts[:cut]), ("completion", texts[cut:])):
+            record[name] = part[0]["content"] if isinstance(record[name], str) and len(part) == 1 else part
+    elif shape == "alpaca":
+        if texts and texts[0]["role"] == "system" and record.get("system"):
+            record["system"] = texts.pop(0)["content"]
+        asked, record["output"] = texts[-2]["content"], texts[-1]["content"]
+        if record.get("input"):
+            head, _, tail = asked.partition("\n\n")
+            n = record["instruction"].count("\n\n")
+            parts = asked.split("\n\n")
+            head, tail = "\n\n".join(parts[: n + 1]), "\n\n".join(parts[n + 1 :])
+            record["instruction"], record["input"] = head, tail
+        else:
+            record["instruction"] = asked
+        if record.get("history"):
+            past = texts[:-2]
+            record["history"] = [[past[i]["content"], past[i + 1]["content"]] for i in range(0, len(past) - 1, 2)]
+    elif shape == "preference":
+        n = prompt_len or 0
+        prompt, chosen = texts[:n], texts[n:]
+        other = [dict(m) for m in rejected or ()]
+        if record.get("prompt") is not None and isinstance(record["chosen"], str):
+            record["prompt"] = prompt[0]["content"] if isinstance(record["prompt"], str) and len(prompt) == 1 else prompt
+            record["chosen"], record["rejected"] = chosen[0]["content"], other[0]["content"] if isinstance(record["rejected"], str) else other
+        elif record.get("prompt") is not None and len(record["chosen"]) == len(chosen):
+            record["prompt"] = prompt[0]["content"] if isinstance(record["prompt"], str) and len(prompt) == 1 else prompt
+            record["chosen"], record["rejected"] = chosen, other
+        else:
+            record["chosen"], record["rejected"] = prompt + chosen, prompt + other
+    return json.dumps(record, ensure_ascii=False)
+
+
+def written_back(fixed: DataFrame) -> DataFrame:
+    """(file, line_no, raw) of repaired records; ``fixed`` has raw, source_format, changed, messages, rejected and prompt_len.
+
+    Records that did not change keep their bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            out = [restored(r["raw"], r["source_format"], r["messages"], r["rejected"], r["prompt_len"]) if r["changed"] else r["raw"] for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["file", "line_no", "raw"])
+
+    return fixed.select("file", "line_no", "raw", "source_format", "changed", "messages", "rejected", "prompt_len").mapInArrow(run, "file string, line_no bigint, raw string")
