@@ -39,7 +39,8 @@ def found(text: Column, pattern: str) -> Column:
 def secrets(text: Column) -> Column:
     """(kind, value) of the credentials in a text."""
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    every = F.flatten(F.array(*(F.transform(found(text, p), lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x.alias("value"))) for kind, p in KINDS)))
+    named = lambda kind, p: F.transform(found(text, p), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+    every = F.flatten(F.array(*(named(kind, p) for kind, p in KINDS)))
     return F.when(text.rlike(HINT), every).otherwise(none)
 
 

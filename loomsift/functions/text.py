@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: White space as Python's str.strip() sees it, as a character class that Java and RE2 both read. Fixed values.
 WHITE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 STRIP_PATTERN = f"^{WHITE}+|{WHITE}+$"
+WHITE_CHARACTERS = "".join(chr(n) for n in range(0x3001) if chr(n).isspace())
 BOM = "﻿"
 #: Garbled sequences and what they stood for, in the order of repair. Fixed values.
 GARBLED = (
@@ -24,7 +25,7 @@ def bound(value: Column, use) -> Column:
 
 def strip(text: Column) -> Column:
     """The text without white space at either end, whatever the script of the blanks."""
-    return F.regexp_replace(text, STRIP_PATTERN, "")
+    return F.trim(text, F.lit(WHITE_CHARACTERS))
 
 
 def approximate_tokens(text: Column) -> Column:

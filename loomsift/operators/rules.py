@@ -1,13 +1,15 @@
 """Validation rules as column expressions over canonical records.
 
 Findings are rows (file, line_no, rule_id, severity, idx, kind); idx is the message a finding is
-about, or null. Record rules are arrays of findings that one pass over the records computes and
-explodes, without a shuffle; duplicates and overlap aggregate by hash before they join, so a hot
+about, or null. Rules over a record or a message are arrays of findings that are computed and
+exploded without a shuffle; duplicates and overlap aggregate by hash before they join, so a hot
 key is combined in place first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,25 +35,18 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def _slots() -> Column:
-    """Every message of a record once, with its place on its side."""
-    numbered = lambda c: F.coalesce(F.transform(c, lambda m, i: F.struct(i.cast("bigint").alias("idx"), m["role"].alias("role"), m["content"].alias("content"))), F.array().cast("array<struct<idx:bigint,role:string,content:string>>"))
-    return F.concat(numbered(F.col("messages")), numbered(F.col("rejected")))
-
-
-def _per_slot(faults) -> Column:
-    """Findings of all messages; ``faults`` gives those of one as an array."""
-    return F.flatten(F.transform(F.col("slots"), faults))
-
-
 def schema() -> Column:
-    """No messages, an unknown or missing role, a missing text."""
+    """A record without messages."""
     missing = F.col("messages").isNull() | (F.size("messages") == 0)
-    each = _per_slot(lambda m: F.array_compact(F.array(
-        F.when(~F.coalesce(m["role"].isin(*ROLES), F.lit(False)), _finding("schema", ERROR, m["idx"], "invalid role")),
-        F.when(m["content"].isNull(), _finding("schema", ERROR, m["idx"], "no content")),
-    )))
-    return F.when(missing, F.array(_finding("schema", ERROR, None, "no messages"))).otherwise(each)
+    return F.when(missing, F.array(_finding("schema", ERROR, None, "no messages"))).otherwise(_none())
+
+
+def message_schema() -> Column:
+    """An unknown or missing role, a missing text."""
+    return F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), _finding("schema", ERROR, F.col("idx"), "invalid role")),
+        F.when(F.col("content").isNull(), _finding("schema", ERROR, F.col("idx"), "no content")),
+    ))
 
 
 def _other_side() -> Column:
@@ -92,9 +87,8 @@ def roles() -> Column:
 
 
 def empty_content() -> Column:
-    """Messages of nothing but white space."""
-    blank = F.filter("slots", lambda m: m["content"].isNotNull() & (strip(m["content"]) == ""))
-    return F.transform(blank, lambda m: _finding("empty-content", ERROR, m["idx"], "empty"))
+    """A message of nothing but white space."""
+    return F.when(F.col("content").isNotNull() & (strip(F.col("content")) == ""), F.array(_finding("empty-content", ERROR, F.col("idx"), "empty")))
 
 
 def side_tokens(turns: Column) -> Column:
@@ -118,10 +112,10 @@ def context_window(max_seq_len: int = MAX_SEQ_LEN) -> Column:
 
 def encoding() -> Column:
     """Byte order marks, and one finding for each message with a garbled sequence."""
-    return _per_slot(lambda m: F.array_compact(F.array(
-        F.when(F.contains(m["content"], F.lit(BOM)), _finding("encoding", WARNING, m["idx"], "byte order mark")),
-        F.when(garbled_marker(m["content"]).isNotNull(), _finding("encoding", WARNING, m["idx"], "garbled")),
-    )))
+    return F.array_compact(F.array(
+        F.when(F.contains("content", F.lit(BOM)), _finding("encoding", WARNING, F.col("idx"), "byte order mark")),
+        F.when(garbled_marker(F.col("content")).isNotNull(), _finding("encoding", WARNING, F.col("idx"), "garbled")),
+    ))
 
 
 def preference() -> Column:
@@ -134,35 +128,43 @@ def preference() -> Column:
 
 def secrets() -> Column:
     """Credentials in message texts."""
-    return _per_slot(lambda m: F.coalesce(F.transform(secret_text.secrets(m["content"]), lambda s: _finding("secrets", ERROR, m["idx"], s["kind"])), _none()))
+    return F.transform(secret_text.secrets(F.col("content")), lambda s: _finding("secrets", ERROR, F.col("idx"), s["kind"]))
 
 
 def pii() -> Column:
     """Personal data in message texts."""
+    text = F.col("content")
+    of = lambda values, kind: F.transform(values, lambda _: _finding("pii", WARNING, F.col("idx"), kind))
+    mail = F.when(F.contains(text, F.lit("@")), of(pii_text.emails(text), "email address")).otherwise(_none())
+    numbers = F.concat(of(pii_text.cards(text), "payment card number"), of(pii_text.international_phones(text), "phone number"), of(pii_text.us_phones(text), "phone number"))
+    return F.concat(mail, F.when(text.rlike(pii_text.DIGITS), numbers).otherwise(_none()))
 
-    def one(m: Column) -> Column:
-        text = m["content"]
-        of = lambda values, kind: F.transform(values, lambda _: _finding("pii", WARNING, m["idx"], kind))
-        mail = F.when(F.contains(text, F.lit("@")), of(pii_text.emails(text), "email address")).otherwise(_none())
-        numbers = F.concat(of(pii_text.cards(text), "payment card number"), of(pii_text.international_phones(text), "phone number"), of(pii_text.us_phones(text), "phone number"))
-        return F.concat(mail, F.when(text.rlike(pii_text.DIGITS), numbers).otherwise(_none()))
 
-    return _per_slot(one)
+#: Rules over a whole record, as arrays over ``messages``, ``rejected`` and ``prompt_len``.
+RECORD_RULES = {"schema": schema, "roles": roles, "context-window": context_window, "preference": preference}
+#: Rules over one message, as arrays over ``idx``, ``role`` and ``content``.
+MESSAGE_RULES = {"schema": message_schema, "empty-content": empty_content, "encoding": encoding, "secrets": secrets, "pii": pii}
+STATELESS = (*RECORD_RULES, *(n for n in MESSAGE_RULES if n not in RECORD_RULES))
 
 
-#: Rules over one record, in report order; each is an array over ``messages``, ``rejected``, ``prompt_len`` and ``slots``.
-RECORD_RULES = {"schema": schema, "roles": roles, "empty-content": empty_content, "context-window": context_window, "encoding": encoding, "preference": preference, "secrets": secrets, "pii": pii}
+def record_findings(records: DataFrame, names: list[str] | None = None, max_seq_len: int = MAX_SEQ_LEN) -> DataFrame:
+    """(file, line_no, rule_id, severity, idx, kind): the findings of the named rules that need no other record.
 
+    One pass over the records and one over their messages serve all rules.
+    """
+    wanted = [n for n in STATELESS if names is None or n in names]
 
-def record_findings(records: DataFrame, names: list[str] | None = None, max_seq_len: int = MAX_SEQ_LEN) -> DataFrame:
-    """(file, line_no, rule_id, severity, idx, kind): the findings of the named record rules, in one pass over the records."""
-    wanted = [n for n in RECORD_RULES if names is None or n in names]
-    if not wanted:
+    def found(rows: DataFrame, table: dict) -> list[DataFrame]:
+        arrays = [table[n](max_seq_len) if n == "context-window" else table[n]() for n in wanted if n in table]
+        if not arrays:
+            return []
+        each = rows.select("file", "line_no", F.explode(F.concat(*(F.coalesce(a, _none()) for a in arrays))).alias("f"))
+        return [each.select("file", "line_no", *_parts(F.col("f")))]
+
+    parts = found(records, RECORD_RULES) + found(rec.slots(records), MESSAGE_RULES)
+    if not parts:
         return records.sparkSession.createDataFrame([], "file string, line_no bigint, rule_id string, severity string, idx bigint, kind string")
-    arrays = [RECORD_RULES[n](max_seq_len) if n == "context-window" else RECORD_RULES[n]() for n in wanted]
-    ready = records.withColumn("slots", _slots())
-    each = ready.select("file", "line_no", F.explode(F.concat(*(F.coalesce(a, _none()) for a in arrays))).alias("f"))
-    return each.select("file", "line_no", *_parts(F.col("f")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def content_key(records: DataFrame) -> DataFrame:
@@ -217,7 +219,7 @@ def findings(records: DataFrame, disabled: set[str] | None = None, held_out: Dat
     One pass serves all record rules; duplicates and overlap aggregate by hash before they join.
     """
     off = disabled or set()
-    out = record_findings(records, [n for n in RECORD_RULES if n not in off], max_seq_len)
+    out = record_findings(records, [n for n in STATELESS if n not in off], max_seq_len)
     if "duplicates" not in off:
         out = out.unionByName(duplicates(records))
     if held_out is not None and "eval-overlap" not in off:

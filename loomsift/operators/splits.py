@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomsift.functions.text import WHITE, strip
+from loomsift.functions.text import WHITE, bound, strip
 from loomsift.operators.ranking import hashed_rank, joined_on, key_counts, seeded
+from loomsift.session import written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -60,9 +61,11 @@ def first_seen(df: DataFrame, key: str, prompt: str, answer: str) -> DataFrame:
 
 def shingles(text: Column, size: int = SHINGLE_WORDS) -> Column:
     """Hashes of the runs of ``size`` words; a shorter text is one run."""
-    words = F.filter(F.split(F.lower(text), f"{WHITE}+"), lambda w: w != "")
-    count = F.greatest(F.size(words) - (size - 1), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(size)), " "))))
+    def runs(words: Column) -> Column:
+        count = F.greatest(F.size(words) - (size - 1), F.lit(1))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(size)), " "))))
+
+    return bound(F.filter(F.split(F.lower(text), f"{WHITE}+"), lambda w: w != ""), runs)
 
 
 def near_duplicates(left: DataFrame, right: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
@@ -73,7 +76,7 @@ def near_duplicates(left: DataFrame, right: DataFrame, key: str, text: str, leas
     enough share a shingle of both prefixes, so no link is lost and common shingles meet nothing.
     """
     distinct = lambda df: df.where(F.col(text).isNotNull()).groupBy(F.lower(text).alias("t")).agg(F.min(key).alias("k")).select("k", shingles(F.col("t")).alias("s"))
-    a, b = distinct(left), distinct(right)
+    a, b = written(distinct(left), "left-shingles"), written(distinct(right), "right-shingles")
     df = b.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
