@@ -225,29 +225,28 @@ def _single(text: str) -> str:
     return re.sub(r"[À-ÿ÷×¸¨]+", decode, text)
 
 
-_HALF_RUN = re.compile(r"[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{6,}")
+_HALF_RUN = re.compile(r"[\x80-\xff]{6,}")
+#: Two-byte encodings, the range of first bytes of their common characters, and the share of these in ordinary text. Fixed values.
+_COMMON = (("gb2312", 0xB0, 0xD7, 0.75), ("euc_jp", 0xA4, 0xA5, 0.3), ("big5", 0xA4, 0xC6, 0.75), ("euc_kr", 0xB0, 0xC8, 0.75))
 
 
 def _double(text: str) -> str:
     """Text of a two-byte encoding read as Latin-1: runs of upper-half characters that decode to common ideographs."""
 
     def decode(m: re.Match[str]) -> str:
-        table = _byte_map("cp1252")
-        codes = [table.get(c, ord(c)) for c in m.group()]
+        codes = m.group().encode("latin-1")
         try:
-            bytes(codes).decode()
+            codes.decode()
             return m.group()  # UTF-8 after all
-        except (UnicodeDecodeError, ValueError):
+        except UnicodeDecodeError:
             pass
-        if max(codes) > 255:
-            return m.group()
-        for encoding in ("gb2312", "shift_jis", "euc_jp", "big5", "euc_kr"):
+        for encoding, low, high, share in _COMMON:
             for cut in (len(codes), len(codes) - 1):
                 try:
-                    plain = bytes(codes[:cut]).decode(encoding)
+                    plain = codes[:cut].decode(encoding)
                 except UnicodeDecodeError:
                     continue
-                if sum(c >= "⺀" for c in plain) >= 0.9 * len(plain):
+                if sum(low <= x <= high for x in codes[:cut:2]) >= share * cut / 2 and sum(c >= "⺀" for c in plain) >= 0.9 * len(plain):
                     return plain + m.group()[cut:]
         return m.group()
 
@@ -289,7 +288,7 @@ def repair(text: str, passes: int = 3) -> tuple[str, bool, bool]:
     if text.isascii() or not _SUSPECT.search(text):
         return text, False, False
     damaged = False
-    if (plain := _single(text)) != text or (plain := _double(text)) != text:
+    if (plain := _double(text)) != text:
         damaged, text = True, plain
     for _ in range(passes):
         spans = _narrow(text)
@@ -303,6 +302,8 @@ def repair(text: str, passes: int = 3) -> tuple[str, bool, bool]:
             parts += [text[at:s], plain]
             at = e
         text = "".join(parts) + text[at:]
+    if not damaged and (plain := _single(text)) != text:
+        damaged, text = True, plain
     if (plain := _cyrillic_swap(text)) != text:
         damaged, text = True, plain
     if _CONTROL.search(text):  # single bytes of the encoding below, read as Latin-1
