@@ -114,7 +114,8 @@ def _tool_errors(record: dict) -> list[str]:
     if "parallel_tool_calls" in record and not isinstance(record["parallel_tool_calls"], bool | None):
         errors.append("parallel_tool_calls is no boolean")
     seen: set[str] = set()
-    for m in record.get("messages") or ():
+    turns = record.get("messages")
+    for m in turns if isinstance(turns, list) else ():
         calls = m.get("tool_calls") if isinstance(m, dict) else None
         if calls is None:
             continue
