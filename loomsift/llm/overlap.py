@@ -328,7 +328,9 @@ def text_pairs(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     places: dict[str, list[str]] = {}
     for r in made.mapInArrow(_build(folder), "table_name string, path string").collect():
         places.setdefault(r.table_name, []).append(r.path)
-    training = texts.where("side = 'train'").select("table_name", "h1", "h2", "words")
+    # A set number of partitions: by size alone, few would be left for what is mostly computing.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    training = texts.where("side = 'train'").select("table_name", "h1", "h2", "words").repartition(tasks, "h1")
     return training.mapInArrow(_search({k: sorted(v) for k, v in places.items()}), "table_name string, t1 bigint, t2 bigint, e1 bigint, e2 bigint, distance int")
 
 
