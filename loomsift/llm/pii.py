@@ -57,7 +57,7 @@ TITLE_CUES = (
 NAME_CUES = (
     "my name is", "my name's", "i am ", "i'm ", "i’m ", "this is ", "ask for ", "please tell ", "assigned to ", "signed off", "reviewed ", "contact person", "name:", "speak to ", "talk to ", "regards", "thanks", "cheers", "sincerely", "best wishes", "yours",
     "mein name ist", "ich bin ", "ich heiße", "zuständig ist", "grüße", "grüßen", "gruß", "ansprechpartner", "je m’appelle", "je m'appelle", "je suis ", "voir avec ", "cordialement", "bien à vous", "salutations", "mon nom est",
-    "me llamo", "mi nombre es", "soy ", "pregunta por ", "saludos", "atentamente", "un saludo", "меня зовут", "с уважением", "обратитесь к", "спросите", "ответственн", "я — ", "我叫", "联系人", "姓名", "我是", "名字是", "找",
+    "me llamo", "mi nombre es", "soy ", "pregunta por ", "saludos", "atentamente", "un saludo", "меня зовут", "с уважением", "обратитесь к", "спросите", "ответственн", "я — ", "我叫", "联系人", "姓名", "名字是", "请找",
 )
 RESERVED_DOMAIN = re.compile(r"(?:^|\.)(?:example\.(?:com|org|net)|test|invalid|example|localhost)$")
 
@@ -78,13 +78,13 @@ _PHONE = re.compile(
     r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}"
     r"|\d{3}([.-])\d{3}\1\d{4}"
     r"|1?\d{3}[ ]\d{3}[ ]\d{4}"
-    r")(?![\w/-]|[.,]\d)",
+    r")(?![\d_/-]|[.,]\d)",
     re.A,
 )
 _NOT_PHONE = re.compile(r"(?:ticket|order|build|record|invoice|case|reference|ref|ref\.|version|seed|sha|no\.|nr\.|№|#|isbn|sku|account|Bestellung|Auftrag|commande|facture|pedido|заказ\w*|订单号?)[\s:#.]*$", re.I)
 _PHONE_CUE = re.compile(r"(?:tel|tél|phone|call|mob|whatsapp|text|number|numéro|número|nummer|номер|тел|звон|电话|打|手机|fax|ruf|appel|llám)", re.I)
 
-_ID_VALUE = re.compile(r"(?<![A-Za-z0-9_])(?:[A-Z]{1,3}[ -]?\d{6,10}|\d[\d. -]{5,16}\d(?:[ -]?[A-Z])?)(?![A-Za-z0-9_-])")
+_ID_VALUE = re.compile(r"(?<![A-Za-z0-9_])(?:[A-Z]{1,3}[ -]?\d{6,10}|\d[\d. -]{5,16}\d(?:[ -]?[A-Z])?)(?![0-9_]|-[0-9])")
 _ID_LINK = re.compile(
     r"^(?:[\s:#=№.]|n\.?º|n°|no\.?|nr\.?|number|num\.?|card|id|is|was|on file|es|lautet|ist|est|le|la|de|del|du|des|mein\w*|my|the|code|号码?|是|为|：|编号|number:|номер\w*|a|\w*nummer|,|[’'s])*$",
     re.I,
@@ -147,7 +147,13 @@ _COMMA_PAIR = re.compile(r"([A-ZÀ-ÞА-ЯЁ][\w’']*(?:-[\w’']+)*),[ ]([A-Z
 _LOWER_PAIR = re.compile(r"([^\W\d_]+(?:-[^\W\d_]+)*)[ ]([^\W\d_]+(?:-[^\W\d_]+)*)(?=[ ]and i[ ]|[ ]from[ ]|,[ ]i[ ])")
 #: Words after "i am" that begin no name. Fixed values.
 _NO_PERSON = frozenset("very so really not also still just quite too happy glad sure new sorry aware able about going trying looking using working here back done ready afraid certain unable interested only always never already pretty totally completely fairly rather both now currently".split())
-_ZH_NAME = re.compile(r"(?:我叫|联系人[：: ]?|姓名[：: ]?|我的名字是|名字是|署名[：:]|请找|找)([一-鿿]{2,4})(?=$|[\s。，、！？；：,.!?;])")
+#: Chinese family names of two characters, and the usual ones of one. Fixed values.
+_ZH_DOUBLE = "慕容|欧阳|司马|诸葛|上官|司徒|东方|皇甫|尉迟|公孙|令狐|宇文|长孙|夏侯|端木|轩辕|南宫|百里"
+_ZH_SINGLE = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文司欧"
+_ZH_NAME = re.compile(
+    rf"(?:(?:联系人|姓名|署名)[：:][ ]?((?:{_ZH_DOUBLE})[一-鿿]{{1,2}}|[{_ZH_SINGLE}][一-鿿]{{2}}|[一-鿿]{{2,3}})"
+    rf"|(?:我叫|我的名字是|名字是|请找)(?:([一-鿿]{{2,4}})(?=$|[\s。，、！？；：,.!?;A-Za-z0-9])|((?:{_ZH_DOUBLE})[一-鿿]{{1,2}}|(?<=叫)[{_ZH_SINGLE}][一-鿿]{{2}})))"
+)
 _ZH_TITLED = re.compile(r"([一-鿿]{1,3})(?:先生|女士|小姐|老师)")
 _ZH_WORDS = re.compile(r"[的了是在们个不这那些什么人工客服负责同事对方]")
 
@@ -400,8 +406,8 @@ class Finder:
         for s, e in cues:
             if text[s] > "⺀":
                 m = _ZH_NAME.match(text, s)
-                if m and not _ZH_WORDS.search(m.group(1)):
-                    yield Item(m.start(1), m.end(1), "name")
+                if m and not _ZH_WORDS.search(m.group(m.lastindex)):
+                    yield Item(m.start(m.lastindex), m.end(m.lastindex), "name")
                 continue
             if s and low[s - 1].isalnum():
                 continue
