@@ -302,6 +302,15 @@ def split_by_prompt_hash(s, d):
     return splits.split_by_prompt(docs, "lang", "prompt", "doc_id", 5, 5)
 
 
+@query("""WITH r AS (SELECT doc_id, lang, sha256(text) AS h FROM documents WHERE text IS NOT NULL),
+k AS (SELECT lang, h, row_number() OVER (PARTITION BY lang ORDER BY h) AS n FROM (SELECT DISTINCT lang, h FROM r)),
+c AS (SELECT lang, h, CASE WHEN n <= 5 THEN 'test' ELSE 'dev' END AS part FROM k WHERE n <= 10)
+SELECT r.doc_id, r.lang, coalesce(c.part, 'train') AS part FROM r LEFT JOIN c ON r.h = c.h AND r.lang IS NOT DISTINCT FROM c.lang WHERE c.part IS NOT NULL OR r.h NOT IN (SELECT h FROM c)""")
+def split_by_whole_prompt_hash(s, d):
+    """The split by prompts, the whole text being the prompt."""
+    return splits.split_by_prompt(table(s, d, "documents").select("doc_id", "lang", "text"), "lang", "text", "doc_id", 5, 5)
+
+
 @query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS r, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM documents) WHERE r <= round_even(n * (200.0::DOUBLE / total), 0)""")
 def category_cap(s, d):
     """Documents cut to about 200, each source to its share."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 
 from loomsift.plans import catalog
@@ -46,3 +48,12 @@ def test_reports_run_every_rule(spark, folder):
 
 def test_regressions_run_every_rule(spark, folder):
     assert rows(spark, folder, "regressions") == [("clean", "clean_fraction", 1.0, 0.5), ("clean", "error_rate", 0.0, 0.5), ("clean", "warning_rate", 0.0, 0.5)]
+
+
+def test_texts_that_open_alike_are_different_prompts(spark, tmp_path):
+    texts = ["x" * 40 + f" ends in {i}" for i in range(12)]
+    spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(12, "de", texts[0]), (13, "en", None)], "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    parts = {r.doc_id: r.part for r in catalog.QUERIES["split_by_whole_prompt_hash"](spark, str(tmp_path)).collect()}
+    order = sorted(range(12), key=lambda i: hashlib.sha256(texts[i].encode()).hexdigest())
+    assert [parts.get(i) for i in order] == ["test"] * 5 + ["dev"] * 5 + ["train" if i else None for i in order[10:]]
+    assert parts[12] == "test" and 13 not in parts
