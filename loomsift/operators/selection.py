@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.operators.ranking import seeded, static_fill
 
 MOST_CAPABILITIES = 1000
-#: Candidates that the greedy diversity orders hold on the driver at most; they are made for a shortlist.
+#: Rows that the greedy diversity orders hold on the driver at a time; the table can be of any size.
 MOST_SHORTLISTED = 20_000
 
 
@@ -118,42 +119,104 @@ def score_summary(scores: DataFrame, column: str) -> DataFrame:
     return scores.agg(F.min(c).alias("least"), F.percentile(c, F.lit(0.5)).alias("middle"), F.max(c).alias("most"), F.avg(c).alias("mean"), F.count_if(c < 0).alias("negative"))
 
 
-def _held(vectors: DataFrame, key: str, vector: str, extra: list[str]) -> tuple[list, np.ndarray, list]:
-    rows = vectors.select(key, vector, *extra).orderBy(key).limit(MOST_SHORTLISTED + 1).collect()
-    if len(rows) > MOST_SHORTLISTED:
-        raise ValueError(f"diversity orders take a shortlist of at most {MOST_SHORTLISTED}")
-    matrix = np.array([r[vector] for r in rows], float).reshape(len(rows), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else np.ones((0, 1))
-    return [r[key] for r in rows], matrix / np.where(norms > 0, norms, 1), rows
+def _units(vectors: pd.Series) -> np.ndarray:
+    m = np.array(vectors.tolist(), float).reshape(len(vectors), -1)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms > 0, norms, 1)
+
+
+def _along(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Products of rows with one vector; unlike those of a matrix product, none depends on the other rows."""
+    return (m * v).sum(axis=1)
+
+
+def _nearest(m: np.ndarray, picks: list[np.ndarray]) -> np.ndarray:
+    """Greatest likeness of each row to the picks; 0 without any."""
+    return np.max([_along(m, p) for p in picks], axis=0) if picks else np.zeros(len(m))
+
+
+def _best(rows: DataFrame, taken: list, picks: list[np.ndarray], value) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The rows of highest ``value(m, utility, near)`` in each partition, and the best of those each leaves out.
+
+    All partitions together send ``MOST_SHORTLISTED`` rows, and one more each.
+    """
+    most = max(1, MOST_SHORTLISTED // max(1, rows.rdd.getNumPartitions()))
+
+    def best(batches):
+        top = None
+        for each in batches:
+            each = each[~each["key"].isin(taken)]
+            if each.empty:
+                continue
+            m = _units(each["vector"])
+            each = each.assign(vector=list(m), value=value(m, each["utility"].to_numpy(float), _nearest(m, picks)))
+            top = (each if top is None else pd.concat([top, each])).sort_values(["value", "key"], ascending=[False, True]).head(most + 1)
+        if top is not None:
+            yield top.assign(beyond=np.arange(len(top)) == most)
+
+    kinds = f"key {rows.schema['key'].dataType.simpleString()}, vector array<double>, utility double, value double, beyond boolean"
+    found = pd.DataFrame(rows.mapInPandas(best, kinds).collect(), columns=["key", "vector", "utility", "value", "beyond"])
+    beyond = found["beyond"].to_numpy(bool)
+    return found[~beyond].sort_values("key", ignore_index=True), found[beyond].sort_values(["value", "key"], ascending=[False, True])
+
+
+def _greedy(rows: DataFrame, k: int, first, later) -> list:
+    """Keys of (key, vector, utility) by greedy order: the highest ``first``, then always the highest ``later``, lowest key among equals.
+
+    Values only fall while picks are added, so the held rows decide as long as one is above all that no partition sent;
+    after that all rows are valued anew.
+    """
+    keys: list = []
+    picks: list[np.ndarray] = []
+    while len(keys) < k:
+        held, beyond = _best(rows, keys, picks, later if keys else first)
+        if held.empty:
+            break
+        m, u, value = np.array(held["vector"].tolist(), float), held["utility"].to_numpy(float), held["value"].to_numpy(float)
+        near, limit = _nearest(m, picks), None if beyond.empty else (beyond["value"].iloc[0], beyond["key"].iloc[0])
+        started, fresh = bool(keys), True
+        while len(keys) < k:
+            i = int(np.argmax(value))
+            key = held["key"].iloc[i]
+            if value[i] == -np.inf or not fresh and limit and not (value[i] > limit[0] or value[i] == limit[0] and key < limit[1]):
+                break
+            near = np.maximum(near, _along(m, m[i])) if picks else _along(m, m[i])
+            keys.append(key)
+            picks.append(m[i])
+            if not started:  # the first is chosen by another value
+                break
+            out = value == -np.inf
+            value, fresh = later(m, u, near), False
+            value[out] = -np.inf
+            value[i] = -np.inf
+    return [k.item() if isinstance(k, np.generic) else k for k in keys]
+
+
+def _named(vectors: DataFrame, key: str, vector: str, utility: Column) -> DataFrame:
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"), utility.cast("double").alias("utility"))
+    return rows.where("key is not null and vector is not null and utility is not null")
 
 
 def k_center(vectors: DataFrame, key: str, vector: str, k: int) -> list:
-    """Keys of a shortlist: the most central first, then always the one farthest from those before, lowest key among equals."""
-    keys, m, _ = _held(vectors, key, vector, [])
-    if not keys:
+    """Keys of the first k: the most central first, then always the one farthest from those before, lowest key among equals."""
+    rows = _named(vectors, key, vector, F.lit(0.0))
+
+    def total(batches):
+        parts = [(_units(b["vector"]).sum(axis=0), len(b)) for b in batches if len(b)]
+        if parts:
+            yield pd.DataFrame({"total": [np.sum([t for t, _ in parts], axis=0)], "n": [sum(n for _, n in parts)]})
+
+    sums = rows.mapInPandas(total, "total array<double>, n bigint").collect()
+    if not sums:
         return []
-    order = [int(np.argmax(m @ m.mean(axis=0)))]
-    far = 1 - m @ m[order[0]]
-    far[order[0]] = -np.inf
-    while len(order) < min(k, len(keys)):
-        order.append(int(np.argmax(far)))
-        far = np.minimum(far, 1 - m @ m[order[-1]])
-        far[order] = -np.inf
-    return [keys[i] for i in order]
+    center = np.sum([r.total for r in sums], axis=0) / sum(r.n for r in sums)
+    return _greedy(rows, k, lambda m, u, near: _along(m, center), lambda m, u, near: 1 - near)
 
 
 def marginal_relevance(vectors: DataFrame, key: str, vector: str, utility: str, k: int, penalty: float = 0.5) -> list:
-    """Keys of a shortlist: always the highest utility less ``penalty`` times the greatest likeness to those before."""
-    keys, m, rows = _held(vectors, key, vector, [utility])
-    u = np.array([r[utility] for r in rows], float)
-    near = np.full(len(keys), 0.0)
-    order: list[int] = []
-    while len(order) < min(k, len(keys)):
-        value = u - penalty * near
-        value[order] = -np.inf
-        order.append(int(np.argmax(value)))
-        near = np.maximum(near, m @ m[order[-1]]) if len(order) > 1 else m @ m[order[-1]]
-    return [keys[i] for i in order]
+    """Keys of the first k: always the highest utility less ``penalty`` times the greatest likeness to those before."""
+    worth = lambda m, u, near: u - penalty * near
+    return _greedy(_named(vectors, key, vector, F.col(utility)), k, worth, worth)
 
 
 def text_features(text: Column, size: int = 256) -> Column:

@@ -430,15 +430,15 @@ def available_candidates(s, d):
 
 @query()
 def diverse_order(s, d):
-    """The first 50 vectors of label 0 by farthest-point order."""
-    keys = selection.k_center(table(s, d, "embeddings").where("label = 0"), "vec_id", "embedding", 50)
+    """The first 50 vectors by farthest-point order."""
+    keys = selection.k_center(table(s, d, "embeddings"), "vec_id", "embedding", 50)
     return s.createDataFrame(list(enumerate(keys)), "place bigint, vec_id bigint")
 
 
 @query()
 def relevant_order(s, d):
-    """The first 50 vectors of label 0 by marginal relevance."""
-    v = table(s, d, "embeddings").where("label = 0").withColumn("u", F.get("embedding", F.lit(0)).cast("double"))
+    """The first 50 vectors by marginal relevance."""
+    v = table(s, d, "embeddings").withColumn("u", F.get("embedding", F.lit(0)).cast("double"))
     keys = selection.marginal_relevance(v, "vec_id", "embedding", "u", 50)
     return s.createDataFrame(list(enumerate(keys)), "place bigint, vec_id bigint")
 
