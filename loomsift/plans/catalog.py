@@ -355,9 +355,10 @@ def leakage_counts(s, d):
 
 @query()
 def related_leakage(s, d):
-    """Documents of one half against the other, related by their source."""
+    """English documents, by language tags in any case, against all others, related by their source."""
     docs = table(s, d, "documents").select("doc_id", "text", "source", "lang")
-    return splits.leakage(docs.where("lang = 'en'"), docs.where("lang = 'de'"), "doc_id", "text", "source")
+    english = F.lower("lang").eqNullSafe(F.lit("en"))
+    return splits.leakage(docs.where(english), docs.where(~english), "doc_id", "text", "source")
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:

@@ -57,3 +57,10 @@ def test_texts_that_open_alike_are_different_prompts(spark, tmp_path):
     order = sorted(range(12), key=lambda i: hashlib.sha256(texts[i].encode()).hexdigest())
     assert [parts.get(i) for i in order] == ["test"] * 5 + ["dev"] * 5 + ["train" if i else None for i in order[10:]]
     assert parts[12] == "test" and 13 not in parts
+
+
+def test_related_leakage_looks_at_every_language(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = [(1, "same text", "a", "EN"), (2, "Same text", "b", None), (3, "other", "c", "en"), (4, "fourth", "c", "fr"), (5, words, "d", "en"), (6, words + " end", "e", "DE"), (7, "alone", "f", "en")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r[:3] for r in rows(spark, str(tmp_path), "related_leakage")] == [(1, 2, "exact"), (3, 4, "related"), (5, 6, "near")]
