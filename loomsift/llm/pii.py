@@ -1,10 +1,11 @@
 """Personal information inside free text (problem 1).
 
-An Aho-Corasick automaton finds anchors: at-signs, dial prefixes, identifier cues,
-street and post-box words, titles, salutations and listed names. At each anchor a
-deterministic parser expands and validates the boundaries of one item. Digits that
-start a bare number are anchors as well. Items never overlap: e-mail addresses win,
-then identifiers, addresses, phones and names.
+An Aho-Corasick automaton finds anchors: at-signs, identifier cues, street and
+post-box words, titles, salutations and listed names. At each anchor a
+deterministic parser expands and validates the boundaries of one item. Phones have
+no anchors: a pattern scans texts that hold a long number, as bare numbers count as
+well. Items never overlap: e-mail addresses win, then identifiers, addresses, phones
+and names.
 
 Null and empty texts hold no items; texts of any length are scanned whole.
 """
