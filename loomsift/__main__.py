@@ -37,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(result.to_dict(a.limit), default=str))
             return result.exit_code
         if a.command == "fix":
-            fixed = api.fix(spark, a.paths, a.output, a.shape, a.eval_path, a.disable)
+            fixed = api.fix(spark, a.paths, a.output, a.shape, a.eval_path, a.disable, a.max_seq_len)
             print(json.dumps(fixed.to_dict()))
             return fixed.exit_code
         baseline = None

@@ -1,11 +1,14 @@
-"""Credentials in text, as column expressions."""
+"""Credentials in text. A value is found at its place and replaced there; the first kind that claims a place names it."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomsift.functions.text import bound
+from loomsift.functions import spans
+from loomsift.functions.spans import Span
 
 PLACEHOLDER = "[REDACTED_SECRET]"
 #: Kinds of credentials and their patterns; the first kind that matches a value names it. Fixed values.
@@ -25,30 +28,37 @@ KINDS = (
 )
 #: A whole segment of a key that marks it as a placeholder. Fixed values.
 PLACEHOLDER_SEGMENT = r"(?i)(?:^|[_-])(?:your|example|placeholder|here|xxx+|changeme|dummy|sample|test|todo|insert)(?:$|[_-])|EXAMPLE$|x{8,}|(.)\1{11,}"
+#: A text without any of these holds no credential; Java and RE2 read it as well.
+HINT = r"sk-|AKIA|ASIA|gh[pousr]_|hf_|api_org_|k_live_|xox[abeoprs]-|hooks\.slack|AIza|GOCSPX|PRIVATE KEY|(?i:secret_?access)"
 
+_KINDS = tuple((kind, re.compile(p)) for kind, p in KINDS)
+_SEGMENT, _HINT = re.compile(PLACEHOLDER_SEGMENT), re.compile(HINT)
 
-#: A text without any of these holds no credential.
-HINT = r"sk-|AKIA|ASIA|gh[pousr]_|hf_|api_org_|k_live_|xox[abeoprs]-|hooks\.slack|AIza|GOCSPX|PRIVATE KEY|(?i:secret_?access)"
 
+def find(text: str) -> list[Span]:
+    """The credentials of a text, none overlapping another; placeholders are none."""
+    if not _HINT.search(text):
+        return []
+    return spans.disjoint(Span(*m.span(), kind) for kind, p in _KINDS for m in p.finditer(text) if not _SEGMENT.search(m.group()))
 
-def found(text: Column, pattern: str) -> Column:
-    """Values of one kind in a text, placeholders left out."""
-    return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: ~x.rlike(PLACEHOLDER_SEGMENT))
 
+def redact(text: str) -> str:
+    return spans.replaced(text, find(text), lambda _: PLACEHOLDER)
 
-def secrets(text: Column) -> Column:
-    """(kind, value) of the credentials in a text."""
-    none = F.array().cast("array<struct<kind:string,value:string>>")
-    named = lambda kind, p: F.transform(found(text, p), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
-    every = F.flatten(F.array(*(named(kind, p) for kind, p in KINDS)))
-    return F.when(text.rlike(HINT), every).otherwise(none)
 
+def mask(value: str) -> str:
+    return f"{value[:4]}…"
 
-def redacted(text: Column) -> Column:
-    """The text with every credential replaced."""
-    clean = bound(text, lambda t: F.aggregate(secrets(t), t, lambda acc, x: F.replace(acc, x["value"], F.lit(PLACEHOLDER))))
-    return F.when(text.rlike(HINT), clean).otherwise(text)
 
+def hint(text: Column) -> Column:
+    return text.rlike(HINT)
 
-def mask(value: Column) -> Column:
-    return F.concat(F.substring(value, 1, 4), F.lit("…"))
+
+def found(text: Column) -> Column:
+    """array<struct<kind,value>> of the credentials in a text, null without any."""
+    return spans.found_in(text, hint(text), find)
+
+
+def redacted(text: Column) -> Column:
+    """The text with every credential replaced."""
+    return spans.changed_by(text, hint(text), redact)

@@ -51,6 +51,14 @@ def repaired(text: Column) -> Column:
     return out
 
 
+def repaired_text(text: str) -> str:
+    """The same for one text in Python."""
+    text = text.replace(BOM, "")
+    for bad, good in GARBLED:
+        text = text.replace(bad, good)
+    return text
+
+
 def words(text: Column) -> Column:
     """Words between blanks, lower case."""
     return F.filter(F.split(F.lower(text), f"{WHITE}+"), lambda w: w != "")

@@ -16,10 +16,20 @@ from pyspark.sql import functions as F
 from loomsift.sources.tables import table
 
 MESSAGES = "array<struct<role:string,content:string>>"
+#: What JSON lines have beyond (role, content): tool turns (see sources.turns), and findings in other fields.
+BEYOND = {
+    "tools": "struct<roles:array<struct<idx:bigint,kind:string>>,calls:array<int>,rejected_calls:array<int>,key:string,prompt_key:string,tokens:bigint>",
+    "fields": "array<struct<rule:string,kind:string>>",
+}
 #: Speakers of turn-based records and the roles they stand for; others pass through. Fixed values.
 SPEAKERS = {"human": "user", "user": "user", "gpt": "assistant", "chatgpt": "assistant", "bard": "assistant", "assistant": "assistant", "system": "system", "tool": "tool", "function": "tool", "observation": "tool"}
 
 
+def whole(records: DataFrame) -> DataFrame:
+    """The records with null ``tools`` and ``fields`` where they have no such columns."""
+    return records.withColumns({name: F.lit(None).cast(kind) for name, kind in BEYOND.items() if name not in records.columns})
+
+
 def message(role: Column | str, content: Column) -> Column:
     return F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), content.alias("content"))
 
@@ -65,7 +75,7 @@ def preferences(df: DataFrame, file: str = "preference_clean") -> DataFrame:
     """Preference records: with a prompt both sides are answers, without one both are whole conversations as JSON text."""
     told = F.col("prompt").isNotNull()
     side = lambda c: F.when(told & F.col(c).isNotNull(), F.array(message("assistant", F.col(c)))).when(~told, F.from_json(F.col(c), MESSAGES))
-    both = df.select("line_no", "prompt", side("chosen").alias("a"), side("rejected").alias("b")).where(F.lit(True))
+    both = df.select("line_no", "prompt", side("chosen").alias("a"), side("rejected").alias("b"))
     ready = F.col("a").isNotNull() & F.col("b").isNotNull()
     n = F.when(told, F.lit(1)).otherwise(shared_prefix(F.col("a"), F.col("b")))
     messages = F.when(told, F.concat(F.array(message("user", F.col("prompt"))), F.col("a"))).otherwise(F.col("a"))
@@ -100,8 +110,24 @@ def sides(records: DataFrame) -> DataFrame:
     return each.select("file", "line_no", "s.side", "s.turns")
 
 
+SLOT = "struct<side:string,idx:bigint,role:string,content:string,calls:boolean>"
+
+
+def slot(side: str | None, idx: Column | None, role: Column | None = None, content: Column | None = None, calls: Column | None = None) -> Column:
+    parts = {"side": F.lit(side), "idx": idx, "role": role, "content": content, "calls": calls}
+    return F.struct(*((F.lit(None) if c is None else c).alias(name) for name, c in parts.items())).cast(SLOT)
+
+
+def slot_array() -> Column:
+    """Every message of a record once, of either side; ``calls`` marks a turn that calls a tool."""
+    def side(name: str, turns: str, calls: str) -> Column:
+        called = lambda i: F.coalesce(F.array_contains(F.col(calls), i), F.lit(False))
+        return F.coalesce(F.transform(turns, lambda m, i: slot(name, i, m["role"], m["content"], called(i))), F.array().cast(f"array<{SLOT}>"))
+
+    return F.concat(side("", "messages", "tools.calls"), side("rejected", "rejected", "tools.rejected_calls"))
+
+
 def slots(records: DataFrame) -> DataFrame:
     """(file, line_no, side, idx, role, content): every message once."""
-    both = F.array(F.struct(F.lit("").alias("side"), F.col("messages").alias("m")), F.struct(F.lit("rejected").alias("side"), F.col("rejected").alias("m")))
-    each = records.select("file", "line_no", F.explode(both).alias("s")).select("file", "line_no", "s.side", F.posexplode("s.m").alias("idx", "m"))
-    return each.select("file", "line_no", "side", F.col("idx").cast("bigint").alias("idx"), "m.role", "m.content")
+    each = whole(records).select("file", "line_no", F.explode(slot_array()).alias("s"))
+    return each.select("file", "line_no", "s.side", "s.idx", "s.role", "s.content")

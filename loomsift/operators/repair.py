@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.functions import pii, secrets
-from loomsift.functions.text import approximate_tokens, repaired, strip
+from loomsift.functions.text import BOM, approximate_tokens, garbled_marker, repaired, strip
+from loomsift.operators import mending, rules
 from loomsift.operators import records as rec
-from loomsift.operators import rules
-from loomsift.schema import ERROR, MAX_SEQ_LEN
+from loomsift.schema import EMPTY_CALLS, MAX_SEQ_LEN, ROLES
 from loomsift.session import written
 
 
@@ -25,11 +29,31 @@ def repair_encoding(records: DataFrame) -> DataFrame:
 
 
 def redact_secrets(records: DataFrame) -> DataFrame:
-    return map_texts(records, secrets.redacted)
+    """Credentials in message texts replaced at their places."""
+    return _changed_texts(records, secrets.HINT, secrets.redact)
 
 
 def redact_pii(records: DataFrame) -> DataFrame:
-    return map_texts(records, pii.redacted)
+    """Personal data in message texts replaced at their places."""
+    return _changed_texts(records, f"@|{pii.DIGITS}", pii.redact)
+
+
+def _changed_texts(records: DataFrame, hint: str, change: Callable[[str], str]) -> DataFrame:
+    """Texts changed in Python; only sides with a text that has the hint leave the JVM."""
+
+    @F.pandas_udf("array<string>")
+    def run(sides: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else [t if t is None else change(t) for t in s] for s in sides], dtype=object)
+
+    def one(side: str) -> tuple[Column, Column]:
+        texts = F.transform(side, lambda m: m["content"])
+        new = run(F.when(F.exists(side, lambda m: m["content"].rlike(hint)), texts))
+        put = F.transform(side, lambda m, i: rec.message(m["role"], F.get(F.col(f"_{side}"), i)))
+        return new, F.when(F.col(f"_{side}").isNotNull(), put).otherwise(F.col(side))
+
+    sides = {side: one(side) for side in ("messages", "rejected")}
+    held = records.withColumns({f"_{side}": new for side, (new, _) in sides.items()})
+    return held.withColumns({side: put for side, (_, put) in sides.items()}).drop("_messages", "_rejected")
 
 
 def drop_empty(records: DataFrame) -> DataFrame:
@@ -65,8 +89,8 @@ def truncate_longest(records: DataFrame, max_seq_len: int = MAX_SEQ_LEN, rounds:
 
 def deduplicated(records: DataFrame) -> DataFrame:
     """The first line of each content."""
-    first = rules.first_lines(records).where("line_no = first_line").select("file", "line_no")
-    return records.join(first, ["file", "line_no"], "left_semi")
+    again = rules.duplicates(records).select("file", "line_no")
+    return records.join(again, ["file", "line_no"], "left_anti")
 
 
 def without_overlap(records: DataFrame, held_out: DataFrame, original: DataFrame | None = None) -> DataFrame:
@@ -77,49 +101,80 @@ def without_overlap(records: DataFrame, held_out: DataFrame, original: DataFrame
     return records.join(hits, ["file", "line_no"], "left_anti")
 
 
-FIXES = {"encoding": repair_encoding, "secrets": redact_secrets, "pii": redact_pii, "empty-content": drop_empty}
+FIXED = f"file string, line_no bigint, disposition string, rules_fixed array<string>, rules_unfixable array<string>, error string, messages {rec.MESSAGES}, rejected {rec.MESSAGES}, prompt_len int, kept array<int>, tools {rec.BEYOND['tools']}"
+
+
+def suspect(max_seq_len: int = MAX_SEQ_LEN) -> Column:
+    """Whether a rule over the record or a message of it may find something; false means that none does."""
+    said = rec.slot_array()
+    hint = lambda m: (
+        ~F.coalesce(m["role"].isin(*ROLES), F.lit(False)) | m["content"].isNull() | (strip(m["content"]) == "") | F.contains(m["content"], F.lit(BOM))
+        | garbled_marker(m["content"]).isNotNull() | secrets.hint(m["content"]) | pii.hint(m["content"])
+    )
+    whole = F.concat(rules.schema(), rules.roles(), rules.context_window(max_seq_len), rules.preference())
+    return (F.size(whole) > 0) | F.col("tools").isNotNull() | (F.coalesce(F.size("fields"), F.lit(0)) > 0) | F.exists(said, hint)
+
 
+def _mend(off: frozenset[str], max_seq_len: int):
+    kinds = ("disposition", "rules_fixed", "rules_unfixable", "error", "messages", "rejected", "prompt_len", "kept", "tools")
 
-def fixed(records: DataFrame, held_out: DataFrame | None = None, disabled: set[str] | None = None) -> DataFrame:
-    """(file, line_no, disposition, rules_fixed, rules_unfixable, messages, rejected, prompt_len) of every record.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                m = mending.mended(r, off, max_seq_len)
+                m["disposition"] = "dropped" if m["messages"] is None else "fixed" if m["rules_fixed"] else "unchanged"
+                out.append({"file": r["file"], "line_no": r["line_no"]} | {k: m.get(k, r.get(k)) for k in kinds})
+            schema = schema or _arrow_schema(b.schema)
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    Records with an error that no repair removes are dropped. The others go through the repairs in a fixed
-    order, then duplicates and overlaps are dropped, and what still has an error is dropped as well.
+    return run
+
+
+def _arrow_schema(source: pa.Schema) -> pa.Schema:
+    text, texts = pa.string(), pa.list_(pa.string())
+    own = {"disposition": text, "rules_fixed": texts, "rules_unfixable": texts, "error": text, "kept": pa.list_(pa.int32())}
+    names = ("file", "line_no", "disposition", "rules_fixed", "rules_unfixable", "error", "messages", "rejected", "prompt_len", "kept", "tools")
+    return pa.schema([(n, own[n] if n in own else source.field(n).type) for n in names])
+
+
+def fixed(records: DataFrame, held_out: DataFrame | None = None, disabled: set[str] | None = None, max_seq_len: int = MAX_SEQ_LEN) -> DataFrame:
+    """What becomes of every record, in the columns of ``FIXED``; messages is null where the record is lost.
+
+    Records that no rule may object to stay in the JVM. The others are repaired to a fixed point and validated
+    again (see operators.mending); then duplicates and overlaps among what is left are dropped, named by their rule.
     """
-    off = disabled or set()
-    found = rules.findings(records, off | {"duplicates", "eval-overlap"}).select("file", "line_no", "rule_id", "severity")
-    per_line = found.groupBy("file", "line_no").agg(
-        F.sort_array(F.collect_set(F.when(F.col("rule_id").isin(*FIXES), F.col("rule_id")))).alias("can"),
-        F.sort_array(F.collect_set(F.when(~F.col("rule_id").isin(*FIXES) & (F.col("severity") == ERROR), F.col("rule_id")))).alias("cannot"),
-    )
+    off = frozenset(disabled or ())
+    rows = rec.whole(records).withColumn("suspect", F.coalesce(suspect(max_seq_len), F.lit(True)))
+    if "tool_errors" in rows.columns:
+        rows = rows.withColumn("tool_faulty", F.exists("tool_errors", lambda e: e != EMPTY_CALLS))
+    else:
+        rows = rows.withColumn("tool_faulty", F.lit(False))
+    rows = rows.withColumn("suspect", F.col("suspect") | F.col("tool_faulty"))
+    rows = rows.select("file", "line_no", "messages", "rejected", "prompt_len", "tools", "fields", "tool_faulty", "suspect")
     none = F.array().cast("array<string>")
-    state = records.join(per_line, ["file", "line_no"], "left").withColumns({"can": F.coalesce("can", none), "cannot": F.coalesce("cannot", none)})
-    state = written(state, "fix-state")  # read by every branch below
-    alive = state.where(F.size("cannot") == 0)
-    mended = alive
-    for name, fix in FIXES.items():
-        if name not in off:
-            mended = fix(mended)
-    mended = written(mended, "fix-mended")
-    gone = mended.where(F.col("messages").isNull())
-    rest = mended.where(F.col("messages").isNotNull())
-    first = rules.first_lines(rest).where("line_no = first_line").select("file", "line_no", F.lit(True).alias("first")) if "duplicates" not in off else rest.select("file", "line_no", F.lit(True).alias("first"))
-    judged = rest.join(first, ["file", "line_no"], "left")
+    plain = rows.where("not suspect").select(
+        "file", "line_no", F.lit("unchanged").alias("disposition"), none.alias("rules_fixed"), none.alias("rules_unfixable"), F.lit(None).cast("string").alias("error"),
+        "messages", "rejected", "prompt_len", F.sequence(F.lit(0), F.size("messages") - 1).alias("kept"), "tools",
+    )
+    mended = rows.where("suspect").drop("suspect").mapInArrow(_mend(off, max_seq_len), FIXED)
+    state = written(plain.unionByName(mended), "fix-state")  # read by every branch below
+    rest = state.where("messages is not null")
+    by = F.lit(None).cast("string")
+    judged = state
+    if "duplicates" not in off:
+        again = rules.duplicates(rest).select("file", "line_no", F.lit(True).alias("again"))
+        judged = judged.join(again, ["file", "line_no"], "left")
+        by = F.when(F.col("again"), "duplicates")
     if held_out is not None and "eval-overlap" not in off:
-        hits = rules.overlap(rest, held_out).unionByName(rules.overlap(alive, held_out)).select("file", "line_no").distinct().withColumn("hit", F.lit(True))
-        judged = judged.join(hits, ["file", "line_no"], "left")
-    else:
-        judged = judged.withColumn("hit", F.lit(None).cast("boolean"))
-    again = rules.record_findings(rest, ["schema", "roles"]).groupBy("file", "line_no").agg(F.sort_array(F.collect_set("rule_id")).alias("still"))
-    judged = judged.join(again, ["file", "line_no"], "left")
-    by = F.when(F.col("first").isNull(), "duplicates").when(F.col("hit").isNotNull(), "eval-overlap")
-    out = lambda df, disposition, done, left: df.select("file", "line_no", disposition.alias("disposition"), done.alias("rules_fixed"), left.alias("rules_unfixable"), "messages", "rejected", "prompt_len")
-    kept = F.when(by.isNotNull() | F.col("still").isNotNull(), "dropped").when(F.size("can") > 0, "fixed").otherwise("unchanged")
-    return (
-        out(judged, kept, F.when(by.isNotNull(), F.concat("can", F.array(by))).otherwise(F.col("can")), F.coalesce("still", none))
-        .unionByName(out(gone, F.lit("dropped"), F.col("can"), none))
-        .unionByName(out(state.where(F.size("cannot") > 0), F.lit("dropped"), none, F.col("cannot")))
-    )
+        hits = rules.overlap(rest, held_out).unionByName(rules.overlap(records, held_out)).select("file", "line_no").distinct()
+        judged = judged.join(hits.withColumn("hit", F.lit(True)), ["file", "line_no"], "left")
+        by = F.coalesce(by, F.when(F.col("hit"), "eval-overlap"))
+    gone = F.col("messages").isNotNull() & by.isNotNull()
+    changed = {"disposition": F.when(gone, "dropped").otherwise(F.col("disposition")), "rules_fixed": F.when(gone, F.concat("rules_fixed", F.array(by))).otherwise(F.col("rules_fixed"))}
+    changed |= {c: F.when(~gone, F.col(c)) for c in ("messages", "rejected", "prompt_len", "kept")}
+    return judged.withColumns(changed).select("file", "line_no", "disposition", "rules_fixed", "rules_unfixable", "error", "messages", "rejected", "prompt_len", "kept", "tools")
 
 
 def planner_tokens(messages: Column) -> Column:

@@ -18,6 +18,7 @@ from loomsift.functions import secrets as secret_text
 from loomsift.functions.text import BOM, bound, garbled_marker, message_tokens, strip
 from loomsift.operators import records as rec
 from loomsift.schema import ERROR, MAX_SEQ_LEN, ROLES, RULES, WARNING
+from loomsift.session import written
 
 
 def _finding(rule: str, severity: str, idx: Column | None, kind: Column | str) -> Column:
@@ -42,10 +43,10 @@ def schema() -> Column:
 
 
 def message_schema() -> Column:
-    """An unknown or missing role, a missing text."""
+    """An unknown or missing role, a missing text; a call of a tool needs none."""
     return F.array_compact(F.array(
         F.when(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), _finding("schema", ERROR, F.col("idx"), "invalid role")),
-        F.when(F.col("content").isNull(), _finding("schema", ERROR, F.col("idx"), "no content")),
+        F.when(F.col("content").isNull() & ~F.col("calls"), _finding("schema", ERROR, F.col("idx"), "no content")),
     ))
 
 
@@ -82,13 +83,14 @@ def _role_order(turns: Column) -> Column:
 
 
 def roles() -> Column:
-    """Turn order of each side. A null role ends the check."""
-    return F.concat(_role_order(F.col("messages")), bound(_other_side(), _role_order))
+    """Turn order of each side. A null role ends the check. Tool turns are judged where they are parsed."""
+    plain = F.concat(_role_order(F.col("messages")), bound(_other_side(), _role_order))
+    return F.when(F.col("tools").isNull(), plain).otherwise(F.transform("tools.roles", lambda r: _finding("roles", ERROR, r["idx"], r["kind"])))
 
 
 def empty_content() -> Column:
     """A message of nothing but white space."""
-    return F.when(F.col("content").isNotNull() & (strip(F.col("content")) == ""), F.array(_finding("empty-content", ERROR, F.col("idx"), "empty")))
+    return F.when(F.col("content").isNotNull() & ~F.col("calls") & (strip(F.col("content")) == ""), F.array(_finding("empty-content", ERROR, F.col("idx"), "empty")))
 
 
 def side_tokens(turns: Column) -> Column:
@@ -96,13 +98,13 @@ def side_tokens(turns: Column) -> Column:
 
 
 def longest_side() -> Column:
-    """Estimated tokens of the longer side of a record."""
-    return F.greatest(side_tokens(F.col("messages")), bound(_other_side(), side_tokens))
+    """Estimated tokens of the longer side of a record, tool calls and definitions included."""
+    return F.coalesce(F.col("tools.tokens"), F.greatest(side_tokens(F.col("messages")), bound(_other_side(), side_tokens)))
 
 
 def record_tokens(records: DataFrame) -> DataFrame:
     """(file, line_no, tokens) of each record that has messages."""
-    return records.where(F.col("messages").isNotNull()).select("file", "line_no", longest_side().alias("tokens"))
+    return rec.whole(records).where(F.col("messages").isNotNull()).select("file", "line_no", longest_side().alias("tokens"))
 
 
 def context_window(max_seq_len: int = MAX_SEQ_LEN) -> Column:
@@ -128,43 +130,57 @@ def preference() -> Column:
 
 def secrets() -> Column:
     """Credentials in message texts."""
-    return F.transform(secret_text.secrets(F.col("content")), lambda s: _finding("secrets", ERROR, F.col("idx"), s["kind"]))
+    return F.transform(secret_text.found(F.col("content")), lambda s: _finding("secrets", ERROR, F.col("idx"), s["kind"]))
 
 
 def pii() -> Column:
     """Personal data in message texts."""
-    text = F.col("content")
-    of = lambda values, kind: F.transform(values, lambda _: _finding("pii", WARNING, F.col("idx"), kind))
-    mail = F.when(F.contains(text, F.lit("@")), of(pii_text.emails(text), "email address")).otherwise(_none())
-    numbers = F.concat(of(pii_text.cards(text), "payment card number"), of(pii_text.international_phones(text), "phone number"), of(pii_text.us_phones(text), "phone number"))
-    return F.concat(mail, F.when(text.rlike(pii_text.DIGITS), numbers).otherwise(_none()))
+    return F.transform(pii_text.found(F.col("content")), lambda s: _finding("pii", WARNING, F.col("idx"), s["kind"]))
 
 
-#: Rules over a whole record, as arrays over ``messages``, ``rejected`` and ``prompt_len``.
+def in_fields(names: list[str]) -> Column:
+    """Credentials and personal data outside the message texts, as the parser found them."""
+    severity = lambda f: F.when(f["rule"] == "secrets", ERROR).otherwise(WARNING)
+    named = F.filter("fields", lambda f: f["rule"].isin(names))
+    return F.transform(named, lambda f: F.concat_ws("\x01", f["rule"], severity(f), F.lit(""), f["kind"]))
+
+
+#: Rules over a whole record, as arrays over ``messages``, ``rejected``, ``prompt_len``, ``tools`` and ``fields``.
 RECORD_RULES = {"schema": schema, "roles": roles, "context-window": context_window, "preference": preference}
-#: Rules over one message, as arrays over ``idx``, ``role`` and ``content``.
+#: Rules over one message, as arrays over ``idx``, ``role``, ``content`` and ``calls``.
 MESSAGE_RULES = {"schema": message_schema, "empty-content": empty_content, "encoding": encoding, "secrets": secrets, "pii": pii}
 STATELESS = (*RECORD_RULES, *(n for n in MESSAGE_RULES if n not in RECORD_RULES))
 
 
+def _together(arrays: list[Column]) -> Column:
+    return F.concat(*(F.coalesce(a, _none()) for a in arrays)) if arrays else _none()
+
+
+def scanned(records: DataFrame, names: list[str], max_seq_len: int = MAX_SEQ_LEN, *keep: str) -> DataFrame:
+    """(file, line_no, *keep, found): one pass over the records. The first row of each carries what the whole record
+    gives rise to, the others what a message of it does; ``keep`` stands in the first only, the others have null there."""
+    of_record = [RECORD_RULES[n](max_seq_len) if n == "context-window" else RECORD_RULES[n]() for n in names if n in RECORD_RULES]
+    if inside := [n for n in ("secrets", "pii") if n in names]:
+        of_record.append(in_fields(inside))
+    whole = rec.whole(records).withColumn("of_record", _together(of_record))
+    each = whole.select("file", "line_no", *keep, "of_record", F.explode(F.concat(F.array(rec.slot(None, None)), rec.slot_array())).alias("s"))
+    first = F.col("s.side").isNull()
+    kept = [F.when(first, F.col(c)).alias(c) for c in keep]
+    rows = each.select("file", "line_no", *kept, F.when(first, F.col("of_record")).alias("of_record"), first.alias("first"), "s.idx", "s.role", "s.content", "s.calls")
+    of_message = _together([MESSAGE_RULES[n]() for n in names if n in MESSAGE_RULES])
+    return rows.select("file", "line_no", *keep, "first", F.when(F.col("first"), F.col("of_record")).otherwise(of_message).alias("found"))
+
+
+def _exploded(found: DataFrame) -> DataFrame:
+    return found.select("file", "line_no", F.explode("found").alias("f")).select("file", "line_no", *_parts(F.col("f")))
+
+
 def record_findings(records: DataFrame, names: list[str] | None = None, max_seq_len: int = MAX_SEQ_LEN) -> DataFrame:
     """(file, line_no, rule_id, severity, idx, kind): the findings of the named rules that need no other record.
 
-    One pass over the records and one over their messages serve all rules.
+    One pass over the records serves all rules.
     """
-    wanted = [n for n in STATELESS if names is None or n in names]
-
-    def found(rows: DataFrame, table: dict) -> list[DataFrame]:
-        arrays = [table[n](max_seq_len) if n == "context-window" else table[n]() for n in wanted if n in table]
-        if not arrays:
-            return []
-        each = rows.select("file", "line_no", F.explode(F.concat(*(F.coalesce(a, _none()) for a in arrays))).alias("f"))
-        return [each.select("file", "line_no", *_parts(F.col("f")))]
-
-    parts = found(records, RECORD_RULES) + found(rec.slots(records), MESSAGE_RULES)
-    if not parts:
-        return records.sparkSession.createDataFrame([], "file string, line_no bigint, rule_id string, severity string, idx bigint, kind string")
-    return reduce(DataFrame.unionByName, parts)
+    return _exploded(scanned(records, [n for n in STATELESS if names is None or n in names], max_seq_len))
 
 
 def content_key(records: DataFrame) -> DataFrame:
@@ -175,16 +191,23 @@ def content_key(records: DataFrame) -> DataFrame:
     pair = F.when(F.col("rejected").isNotNull(), F.concat(F.lit("\x03"), F.col("prompt_len").cast("string"), F.lit("\x03"), text(F.col("rejected")))).otherwise(F.lit(""))
     end = rec.prompt_end(F.col("messages"), F.col("prompt_len"))
     prompt = F.slice("messages", F.lit(1), end)
-    return records.withColumns(
-        {"full_key": F.sha2(F.concat(text(F.col("messages")), pair), 256), "prompt_key": F.when(F.col("messages").isNotNull() & (F.size(prompt) > 0), F.sha2(text(prompt), 256))}
-    )
+    beyond = lambda name: F.coalesce(F.col(f"tools.{name}"), F.lit(""))
+    full = F.sha2(F.concat(text(F.col("messages")), pair, beyond("key")), 256)
+    asked = F.sha2(F.concat(text(prompt), beyond("prompt_key")), 256)
+    return rec.whole(records).withColumns({"full_key": full, "prompt_key": F.when(F.col("messages").isNotNull() & (F.size(prompt) > 0), asked)})
+
+
+def repeats(keyed: DataFrame) -> DataFrame:
+    """(file, line_no, first_line) of the rows of (file, line_no, full_key) whose content stands on an earlier line.
+
+    Contents are counted by key first; only those that occur more than once are joined.
+    """
+    counts = keyed.groupBy("file", "full_key").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(counts, ["file", "full_key"]).where("line_no > first_line").select("file", "line_no", "first_line")
 
 
-def first_lines(records: DataFrame) -> DataFrame:
-    """(file, line_no, first_line): the first line with the same content."""
-    keyed = content_key(records).select("file", "line_no", "full_key")
-    first = keyed.groupBy("file", "full_key").agg(F.min("line_no").alias("first_line"))
-    return keyed.join(first, ["file", "full_key"]).select("file", "line_no", "first_line")
+def _keys(records: DataFrame) -> DataFrame:
+    return content_key(records).select("file", "line_no", "full_key")
 
 
 def _dataset_finding(rows: DataFrame, rule: str, kind: Column | str) -> DataFrame:
@@ -193,7 +216,7 @@ def _dataset_finding(rows: DataFrame, rule: str, kind: Column | str) -> DataFram
 
 def duplicates(records: DataFrame) -> DataFrame:
     """Records that repeat an earlier line of their file."""
-    return _dataset_finding(first_lines(records).where("line_no > first_line"), "duplicates", "duplicate")
+    return _dataset_finding(repeats(_keys(records)), "duplicates", "duplicate")
 
 
 def overlap(training: DataFrame, held_out: DataFrame) -> DataFrame:
@@ -216,12 +239,18 @@ def eval_overlap(training: DataFrame, held_out: DataFrame) -> DataFrame:
 def findings(records: DataFrame, disabled: set[str] | None = None, held_out: DataFrame | None = None, max_seq_len: int = MAX_SEQ_LEN) -> DataFrame:
     """The findings of every enabled rule, with the rule's place in ``rule_order``.
 
-    One pass serves all record rules; duplicates and overlap aggregate by hash before they join.
+    The records are read once: one pass makes the findings of the record rules and the content keys, which are
+    written to the shared folder and serve duplicates from there.
     """
     off = disabled or set()
-    out = record_findings(records, [n for n in STATELESS if n not in off], max_seq_len)
-    if "duplicates" not in off:
-        out = out.unionByName(duplicates(records))
+    names = [n for n in STATELESS if n not in off]
+    if "duplicates" in off:
+        out = record_findings(records, names, max_seq_len)
+    else:
+        once = scanned(content_key(records), names, max_seq_len, "full_key").where(F.col("first") | (F.size("found") > 0))
+        once = written(once, "scan")
+        again = _dataset_finding(repeats(once.where("first").select("file", "line_no", "full_key")), "duplicates", "duplicate")
+        out = _exploded(once).unionByName(again)
     if held_out is not None and "eval-overlap" not in off:
         out = out.unionByName(eval_overlap(records, held_out))
     order = F.create_map(*(F.lit(x) for r in RULES.values() for x in (r.id, r.order)))

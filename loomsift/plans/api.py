@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsift.operators import repair, reports, rules
-from loomsift.schema import ERROR, MAX_SEQ_LEN, RULES, SEVERITY_RANK, WARNING, disabled_rules
+from loomsift.schema import EMPTY_CALLS, ERROR, MAX_SEQ_LEN, RULES, SEVERITY_RANK, WARNING, disabled_rules
 from loomsift.session import workers_find_package, written
 from loomsift.sources import jsonl
 
@@ -66,7 +66,7 @@ def findings_of(parsed: DataFrame, off: set[str], held_out: DataFrame | None, ma
     if "tool-calls" not in off:
         e = F.col("e")
         tools = whole.where(F.size("tool_errors") > 0).withColumn("e", F.explode("tool_errors"))
-        out = out.unionByName(said(tools, "tool-calls", e, F.when(e == "an empty list of calls", WARNING).otherwise(ERROR)))
+        out = out.unionByName(said(tools, "tool-calls", e, F.when(e == EMPTY_CALLS, WARNING).otherwise(ERROR)))
     return out
 
 
@@ -98,6 +98,7 @@ class FixResult:
     lines: DataFrame
     counts: dict[str, int]
     by_rule: dict[str, int]
+    fixer_errors: list[str] = field(default_factory=list)
 
     @property
     def emitted(self) -> int:
@@ -105,30 +106,33 @@ class FixResult:
 
     @property
     def exit_code(self) -> int:
-        return 2 if not self.emitted else 1 if self.counts.get("dropped", 0) or self.counts.get("unparseable", 0) else 0
+        return 2 if not self.emitted else 1 if self.counts.get("dropped", 0) or self.counts.get("unparseable", 0) or self.fixer_errors else 0
 
     def to_dict(self) -> dict:
-        return {"schema_version": SCHEMA_VERSION, "exit_code": self.exit_code, "summary": self.counts | {"emitted": self.emitted}, "fixes_by_rule": self.by_rule}
+        return {"schema_version": SCHEMA_VERSION, "exit_code": self.exit_code, "summary": self.counts | {"emitted": self.emitted}, "fixes_by_rule": self.by_rule, "fixer_errors": self.fixer_errors}
 
 
-def fix(spark: SparkSession, paths: list[str] | str, output: str | None = None, shape: str = "auto", eval_path: str | None = None, disable: list[str] | None = None) -> FixResult:
+def fix(spark: SparkSession, paths: list[str] | str, output: str | None = None, shape: str = "auto", eval_path: str | None = None, disable: list[str] | None = None, max_seq_len: int = MAX_SEQ_LEN) -> FixResult:
     """Repaired records in their source shape; lines that did not change keep their bytes."""
     off = disabled_rules(disable)
     refuse_same(paths, output)
     parsed = written(_lines(spark, paths, shape), "parsed")
     held_out = held_out_records(spark, eval_path) if eval_path else None
-    usable = parsed.where("parse_error is null and size(field_errors) = 0 and size(tool_errors) = 0")
-    rest = parsed.where("parse_error is not null or size(field_errors) > 0 or size(tool_errors) > 0")
+    broken = F.col("parse_error").isNotNull() | (F.size("field_errors") > 0)
+    usable, rest = parsed.where(~broken), parsed.where(broken)
     none = F.array().cast("array<string>")
-    fixed = repair.fixed(usable.select("file", "line_no", "source_format", "split", "messages", "rejected", "prompt_len"), held_out, off)
-    lost = rest.select("file", "line_no", F.when(F.col("parse_error").isNotNull(), "unparseable").otherwise("dropped").alias("disposition"), none.alias("rules_fixed"), F.when(F.col("parse_error").isNull(), F.array(F.when(F.size("field_errors") > 0, "schema").otherwise("tool-calls"))).otherwise(none).alias("rules_unfixable"))
+    fixed = repair.fixed(usable, held_out, off, max_seq_len)
+    why = F.when(F.col("parse_error").isNotNull(), "unparseable").otherwise("dropped")
+    lost = rest.select("file", "line_no", why.alias("disposition"), none.alias("rules_fixed"), F.when(F.col("parse_error").isNull(), F.array(F.lit("schema"))).otherwise(none).alias("rules_unfixable"))
     outcomes = written(fixed.unionByName(lost, allowMissingColumns=True), "outcomes")
     kept = outcomes.where("disposition in ('unchanged', 'fixed')").join(usable.select("file", "line_no", "raw", "source_format"), ["file", "line_no"])
-    lines = jsonl.written_back(kept.withColumn("changed", F.col("disposition") == "fixed"))
+    lines = jsonl.written_back(kept.withColumn("changed", F.col("disposition") == "fixed"), off)
     if output:
         lines.orderBy("file", "line_no").select("raw").write.text(output)
     counts = {r.disposition: r.n for r in outcomes.groupBy("disposition").agg(F.count("*").alias("n")).collect()}
-    return FixResult(outcomes.drop("messages", "rejected", "prompt_len"), lines, counts, {r.rule_id: r.fixes for r in reports.fixes_by_rule(outcomes).collect()})
+    troubles = outcomes.where("error is not null").groupBy("error").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no")).orderBy("error").collect()  # a row for each kind of failure
+    by_rule = {r.rule_id: r.fixes for r in reports.fixes_by_rule(outcomes).collect()}
+    return FixResult(outcomes.drop("messages", "rejected", "prompt_len", "kept", "tools"), lines, counts, by_rule, [f"{r.error} ({r.n} records, first on line {r.line_no})" for r in troubles])
 
 
 def report(spark: SparkSession, paths: list[str] | str, shape: str = "auto", max_seq_len: int = MAX_SEQ_LEN, baseline: dict | None = None) -> dict:

@@ -30,13 +30,9 @@ def query(oracle: str | None = None):
     return register
 
 
-# The patterns for secrets and personal data need look-around, which the SQL engine lacks: reports that are
-# compared with SQL leave the two rules out, and each has a twin NAME_all_rules that runs every rule.
-_PLAIN = {"secrets", "pii"}
-
-
-def _found(s: SparkSession, d: str, off: set[str] = _PLAIN) -> DataFrame:
-    return rules.findings(rec.all_records(s, d), off)
+def _found(s: SparkSession, d: str) -> DataFrame:
+    """The findings of every rule over every record of the four tables."""
+    return rules.findings(rec.all_records(s, d))
 
 
 def _of(name: str):
@@ -50,7 +46,7 @@ def _of(name: str):
 
 for _name, _rule, _cte in (
     ("check_schema", "schema", "r_schema"), ("check_roles", "roles", "r_roles"), ("check_empty", "empty-content", "r_empty"), ("check_duplicates", "duplicates", "r_duplicates"),
-    ("check_encoding", "encoding", "r_encoding"), ("check_preference", "preference", "r_preference"), ("check_secrets", "secrets", None), ("check_pii", "pii", None),
+    ("check_encoding", "encoding", "r_encoding"), ("check_preference", "preference", "r_preference"), ("check_secrets", "secrets", "r_secrets"), ("check_pii", "pii", "r_pii"),
 ):
     QUERIES[_name] = _of(_rule)
     if _cte:
@@ -88,36 +84,36 @@ def fix_eval_drop(s, d):
 
 
 @query(sql.over_records("SELECT rule_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM finding GROUP BY 1"))
-def issues_by_rule(s, d, off=_PLAIN):
+def issues_by_rule(s, d):
     """Findings by rule and severity."""
-    return reports.by_rule(_found(s, d, off))
+    return reports.by_rule(_found(s, d))
 
 
 @query(sql.over_records("SELECT file, count(DISTINCT line_no) FILTER (severity = 'error') AS error_lines, count(DISTINCT line_no) FILTER (severity = 'warning') AS warning_lines FROM finding GROUP BY 1"))
-def affected_lines(s, d, off=_PLAIN):
-    return reports.affected_lines(_found(s, d, off))
+def affected_lines(s, d):
+    return reports.affected_lines(_found(s, d))
 
 
 @query(sql.over_records("SELECT file, line_no, severity, rule_id, idx, kind FROM (SELECT * FROM finding ORDER BY severity, line_no, rule_order, idx NULLS FIRST, file, kind LIMIT 200)"))
-def issues_in_order(s, d, off=_PLAIN):
+def issues_in_order(s, d):
     """The first 200 findings in report order."""
-    return reports.ordered(_found(s, d, off), 200).select("file", "line_no", "severity", "rule_id", "idx", "kind")
+    return reports.ordered(_found(s, d), 200).select("file", "line_no", "severity", "rule_id", "idx", "kind")
 
 
 @query(sql.over_records("SELECT file, line_no FROM rec WHERE NOT EXISTS (SELECT 1 FROM finding f WHERE f.file = rec.file AND f.line_no = rec.line_no AND severity = 'error')"))
-def clean_lines(s, d, off=_PLAIN):
+def clean_lines(s, d):
     """Records without an error."""
-    return reports.valid_lines(rec.all_records(s, d), _found(s, d, off))
+    return reports.valid_lines(rec.all_records(s, d), _found(s, d))
 
 
 @query(sql.over_records("SELECT r.file, CAST(coalesce(max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END), 0) AS BIGINT) AS exit_code FROM (SELECT DISTINCT file FROM rec) r LEFT JOIN finding f ON f.file = r.file GROUP BY 1"))
-def exit_codes(s, d, off=_PLAIN):
-    return reports.exit_codes(rec.all_records(s, d), _found(s, d, off))
+def exit_codes(s, d):
+    return reports.exit_codes(rec.all_records(s, d), _found(s, d))
 
 
 @query(sql.over_records("SELECT file, line_no, CAST(bit_or(CAST(1 AS BIGINT) << rule_order) AS BIGINT) AS rules FROM finding GROUP BY ALL"))
-def rule_masks(s, d, off=_PLAIN):
-    return reports.snapshot(_found(s, d, off))
+def rule_masks(s, d):
+    return reports.snapshot(_found(s, d))
 
 
 _RATES = """total AS (SELECT file, count(*) AS total FROM rec GROUP BY 1),
@@ -128,9 +124,9 @@ FROM total t LEFT JOIN lines USING (file) LEFT JOIN copies USING (file)"""
 
 
 @query(f"WITH {sql.RECORDS.strip()}, {_RATES}")
-def report_rates(s, d, off=_PLAIN):
+def report_rates(s, d):
     """Shares of clean, faulty and redundant records by file."""
-    out = reports.rates(rec.all_records(s, d), _found(s, d, off))
+    out = reports.rates(rec.all_records(s, d), _found(s, d))
     return out.select("file", "total", *(F.round(c, 9).alias(c) for c in ("clean_fraction", "error_rate", "warning_rate", "duplicate_rate")))
 
 
@@ -142,17 +138,6 @@ def regressions(s, d):
     return reports.regressions(reports.rates(now, rules.findings(now)), reports.rates(before, rules.findings(before)))
 
 
-def _all_rules(report):
-    def run(s: SparkSession, d: str) -> DataFrame:
-        return report(s, d, set())
-
-    return run
-
-
-for _report in (issues_by_rule, affected_lines, issues_in_order, clean_lines, exit_codes, rule_masks, report_rates):
-    QUERIES[f"{_report.__name__}_all_rules"] = _all_rules(_report)
-
-
 @query(sql.over_records("SELECT source_format, count(*) AS records FROM rec GROUP BY 1"))
 def records_by_format(s, d):
     return reports.by_format(rec.all_records(s, d))
@@ -254,14 +239,15 @@ def fixes_by_rule(s, d):
     return reports.fixes_by_rule(fix_outcomes(s, d))
 
 
-@query(sql.over_records(f"SELECT file, line_no, side, CAST(idx AS BIGINT) AS idx, x AS email, left(x, 1) || '***@***.' || string_split(x, '.')[-1] AS mask FROM (SELECT file, line_no, side, idx, unnest({sql.EMAILS}) AS x FROM slot)"))
-def pii_emails(s, d):
-    """E-mail addresses outside the reserved domains, and their masks."""
-    each = rec.slots(rec.all_records(s, d)).where(F.contains("content", F.lit("@"))).select("file", "line_no", "side", "idx", F.explode(pii.emails(F.col("content"))).alias("email"))
-    return each.withColumn("mask", pii.mask_email(F.col("email")))
+@query(sql.over_records("SELECT file, line_no, side, CAST(idx AS BIGINT) AS idx, x.kind AS kind, x.v AS value, CASE WHEN x.kind = 'email address' THEN left(x.v, 1) || '***@***.' || string_split(x.v, '.')[-1] ELSE '…' || right(regexp_replace(x.v, '[^0-9]', '', 'g'), 4) END AS mask FROM kept k JOIN named n ON k.id = n.id"))
+def pii_values(s, d):
+    """Personal data at their places, and what a report may show of them."""
+    each = rec.slots(rec.all_records(s, d)).withColumn("found", pii.found(F.col("content"))).where("found is not null")
+    each = each.select("file", "line_no", "side", "idx", F.explode("found").alias("f")).select("file", "line_no", "side", "idx", "f.kind", "f.value")
+    return each.withColumn("mask", pii.masked(F.col("kind"), F.col("value")))
 
 
-@query()
+@query(sql.over_records(f"SELECT file, line_no, side, CAST(idx AS BIGINT) AS idx, redacted FROM redacted", sql.REDACTED))
 def pii_redacted(s, d):
     """Texts with personal data replaced."""
     each = rec.slots(rec.all_records(s, d)).withColumn("redacted", pii.redacted(F.col("content"))).where("redacted <> content")
@@ -293,21 +279,12 @@ def split_dev_halves(s, d):
     return splits.split_halves(table(s, d, "documents"), "lang", "doc_id")
 
 
-@query("""WITH r AS (SELECT doc_id, lang, sha256(left(text, 40)) AS h FROM documents WHERE text IS NOT NULL),
-k AS (SELECT lang, h, row_number() OVER (PARTITION BY lang ORDER BY h) AS n FROM (SELECT DISTINCT lang, h FROM r)),
-c AS (SELECT lang, h, CASE WHEN n <= 5 THEN 'test' ELSE 'dev' END AS part FROM k WHERE n <= 10)
-SELECT r.doc_id, r.lang, coalesce(c.part, 'train') AS part FROM r LEFT JOIN c ON r.h = c.h AND r.lang IS NOT DISTINCT FROM c.lang WHERE c.part IS NOT NULL OR r.h NOT IN (SELECT h FROM c)""")
-def split_by_prompt_hash(s, d):
-    docs = table(s, d, "documents").select("doc_id", "lang", F.left("text", F.lit(40)).alias("prompt"))
-    return splits.split_by_prompt(docs, "lang", "prompt", "doc_id", 5, 5)
-
-
 @query("""WITH r AS (SELECT doc_id, lang, sha256(text) AS h FROM documents WHERE text IS NOT NULL),
 k AS (SELECT lang, h, row_number() OVER (PARTITION BY lang ORDER BY h) AS n FROM (SELECT DISTINCT lang, h FROM r)),
 c AS (SELECT lang, h, CASE WHEN n <= 5 THEN 'test' ELSE 'dev' END AS part FROM k WHERE n <= 10)
 SELECT r.doc_id, r.lang, coalesce(c.part, 'train') AS part FROM r LEFT JOIN c ON r.h = c.h AND r.lang IS NOT DISTINCT FROM c.lang WHERE c.part IS NOT NULL OR r.h NOT IN (SELECT h FROM c)""")
-def split_by_whole_prompt_hash(s, d):
-    """The split by prompts, the whole text being the prompt."""
+def split_by_prompt_hash(s, d):
+    """The split by prompts; the whole text is the prompt."""
     return splits.split_by_prompt(table(s, d, "documents").select("doc_id", "lang", "text"), "lang", "text", "doc_id", 5, 5)
 
 
@@ -518,18 +495,11 @@ def row_query(s, d):
     return reports.query_rows(records, _found(s, d), "rule:dup tokens>100 ledger")
 
 
-@query(sql.over_records("SELECT file, line_no FROM rec WHERE file = 'clean' AND line_no BETWEEN 10 AND 500 AND NOT EXISTS (SELECT 1 FROM finding f WHERE f.file = rec.file AND f.line_no = rec.line_no)"))
+@query(sql.over_records("SELECT file, line_no FROM rec WHERE NOT EXISTS (SELECT 1 FROM finding f WHERE f.file = rec.file AND f.line_no = rec.line_no)"))
 def row_query_clean(s, d):
-    """Lines 10 to 500 of clean without a finding."""
-    records = rec.all_records(s, d)
-    return reports.query_rows(records, _found(s, d), "state:clean line:10-500").where("file = 'clean'")
-
-
-@query()
-def row_query_clean_all_rules(s, d):
-    """Lines of every table without a finding of any rule."""
+    """Lines of every table without a finding."""
     records = rec.all_records(s, d)
-    return reports.query_rows(records, _found(s, d, set()), "state:clean")
+    return reports.query_rows(records, _found(s, d), "state:clean")
 
 
 @query(f"SELECT line_no, CAST(len(list_filter(regexp_split_to_array(instruction, '[ ]+'), lambda w: w <> '')) AS BIGINT) AS words, {_P} = {_A} AS same FROM alpaca_clean WHERE instruction IS NOT NULL AND output IS NOT NULL")
@@ -540,11 +510,17 @@ def instruction_words(s, d):
     return rows.select("line_no", count.cast("bigint").alias("words"), (strip(F.col("instruction")) == strip(F.col("output"))).alias("same"))
 
 
-@query()
+_SAID = "list_filter(regexp_split_to_array({}, '[\\x{{9}}-\\x{{d}}\\x{{1c}}-\\x{{20}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda w: w <> '')"
+
+
+@query(sql.over_records(
+    """SELECT file, line_no, side, CAST(idx AS BIGINT) AS idx, round(shared / greatest(1, len(a)), 4) AS kept, round((len(b) - shared) / greatest(1, len(b)), 4) AS added FROM (
+    SELECT *, coalesce(list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))), 0) AS shared
+    FROM (SELECT file, line_no, side, idx, """ + _SAID.format("content") + " AS a, " + _SAID.format("redacted") + " AS b FROM redacted))", sql.REDACTED))
 def repair_overlap(s, d):
     """Share of words that redaction keeps, and of those it adds."""
-    each = rec.slots(rec.chat(table(s, d, "clean"))).withColumn("after", pii.redacted(F.col("content"))).where("after <> content")
-    return reports.word_overlap(each, "content", "after", ["line_no", "idx"])
+    each = rec.slots(rec.all_records(s, d)).withColumn("after", pii.redacted(F.col("content"))).where("after <> content")
+    return reports.word_overlap(each, "content", "after", ["file", "line_no", "side", "idx"])
 
 
 @query("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('rank:' || doc_id)) AS rank FROM documents")

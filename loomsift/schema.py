@@ -8,6 +8,8 @@ ERROR, WARNING, INFO = "error", "warning", "info"
 SEVERITY_RANK = {ERROR: 0, WARNING: 1, INFO: 2}
 ROLES = ("assistant", "function", "system", "tool", "user")
 MAX_SEQ_LEN = 4096
+#: The one fault of tool calls that is a warning.
+EMPTY_CALLS = "an empty list of calls"
 
 
 class RuleInfo(NamedTuple):

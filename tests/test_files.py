@@ -59,7 +59,7 @@ def test_faults():
     errors = lambda r: jsonl.parse_line(json.dumps(r))["tool_errors"]
     assert errors(turns(call)) == []
     assert errors(turns(call, call)) == ["the id of a call repeats"]
-    assert errors(turns({"function": {"name": "g", "arguments": "x"}})) == ["a call of an undeclared tool", "arguments of a call are no object"]
+    assert errors(turns({"function": {"name": "g", "arguments": "x"}})) == ["a call is not of type function", "a call of an undeclared tool", "arguments of a call are no object"]
     assert errors(turns()) == ["an empty list of calls"]
 
 

@@ -140,7 +140,7 @@ def test_empty_table(spark):
 def test_fix_outcomes(spark):
     rows = chats(spark, GOOD, GOOD, [("user", "q"), ("assistant", " "), ("assistant", "a")], [("user", "cafÃ©"), ("assistant", "b")], [("user", "q")], [("user", " "), ("assistant", " ")])
     got = {r.line_no: (r.disposition, r.rules_fixed) for r in repair.fixed(rows).collect()}
-    assert got == {1: ("unchanged", []), 2: ("dropped", ["duplicates"]), 3: ("dropped", []), 4: ("fixed", ["encoding"]), 5: ("dropped", []), 6: ("dropped", ["empty-content"])}
+    assert got == {1: ("unchanged", []), 2: ("dropped", ["duplicates"]), 3: ("dropped", []), 4: ("fixed", ["encoding"]), 5: ("dropped", []), 6: ("dropped", [])}
 
 
 def test_truncate_longest(spark):
