@@ -3,8 +3,8 @@
 Copies are found by compressing the answer with the question as a zstandard dictionary:
 an answer that costs next to nothing is a candidate, and an exact comparison of words
 confirms it. Refusals and languages come from dictionaries, truncation from a model of
-terminal contexts: how often each trigram of letters ends a word, fitted on a bounded
-sample of answers (``fit_rows``), and words that never end anything.
+terminal contexts: how often each trigram of letters ends a word, counted over every
+answer that ends with a full stop, and words that never end anything.
 
 An answer has one defect at most, in the order empty, refusal, echo, wrong_language,
 truncated. A null answer is empty. A null question has no language and no copy. Texts
@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 
 from loomsift.llm.mojibake import repair
 from loomsift.llm.sentences import OPEN_ABBREVIATIONS
+from loomsift.session import written
 
-#: Answers from which the terminal model is fitted.
-FIT_ROWS = 4000
+#: A word looks broken off where its last trigram stands inside words more than this many times as often as at their end.
+INSIDE = 12
+#: Characters of answers whose words a task counts before it hands on their trigrams; this bounds its memory, not the counts.
+COUNTED_AT_ONCE = 1 << 24
 
 # Words that stand for no answer.
 NO_ANSWER = frozenset(
@@ -104,6 +107,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 _INVISIBLE = re.compile(r"[​‌‍⁠﻿­᠎]")
 _TERMINAL = re.compile(r"[.!?。！？…؟।॥‼⁇⁈⁉][\"'”’»›)\]}」』）】*_`~ ]*$")
+_WHOLE = tuple(".!?。！？")
 _LAST_TOKEN = re.compile(r"([\w.]+)\.$")
 _ITEM = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+\S")
 _BARE_ITEM = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s*$")
@@ -262,26 +266,52 @@ def is_other_language(answer: str, question: str, extra: str) -> bool:
     return strange and not ASKS_LANGUAGE.search(f"{question}\n{extra}")
 
 
+def _ending(word: str) -> str | None:
+    """The trigram by which a word is judged; none for short words and for scripts without blanks, whose runs of letters are no words."""
+    w = word.lower()
+    if len(w) < 3 or not w.isalpha() or w[0] >= "Ӏ" or max(w[-3:]) >= "Ӏ":
+        return None
+    return w[-3:]
+
+
 class Endings:
     """How often a trigram of letters ends a word, against how often it stands inside one."""
 
     def __init__(self, texts: Iterable[str] = ()) -> None:
         self.final: Counter[str] = Counter()
         self.inner: Counter[str] = Counter()
+        words: Counter[str] = Counter()
         for text in texts:
-            for w in _WORD.findall(text.lower()):
-                self.final[w[-3:]] += 1
-                self.inner.update(w[i : i + 3] for i in range(len(w) - 3))
+            words.update(_WORD.findall(text.lower()))
+        self.count(words)
+
+    def count(self, words: Counter[str]) -> None:
+        """Adds words in lower case, each as often as it stands."""
+        for w, n in words.items():
+            self.final[w[-3:]] += n
+            for i in range(len(w) - 3):
+                self.inner[w[i : i + 3]] += n
 
     def cut(self, word: str) -> bool:
         """Whether a word looks broken off."""
-        w = word.lower()
-        if len(w) < 3 or not w.isalpha() or not w[0] < "Ӏ":
-            return False
-        return self.final[w[-3:]] * 12 < self.inner[w[-3:]]
+        w = _ending(word)
+        return w is not None and self.final[w] * INSIDE < self.inner[w]
+
 
+class _Asked:
+    """In the place of a model that is still being counted: holds every word for broken off and keeps the trigrams asked for."""
+
+    def __init__(self) -> None:
+        self.trigrams: list[str] = []
+
+    def cut(self, word: str) -> bool:
+        w = _ending(word)
+        if w is not None:
+            self.trigrams.append(w)
+        return w is not None
 
-def is_truncated(answer: str, endings: Endings) -> bool:
+
+def is_truncated(answer: str, endings: Endings | _Asked) -> bool:
     """Breaks off inside a sentence, list or code block."""
     text = _INVISIBLE.sub("", answer).rstrip().rstrip("*_~").rstrip()
     if not text:
@@ -317,7 +347,7 @@ def is_truncated(answer: str, endings: Endings) -> bool:
     return bool(re.search(r"[^\W_]", text[-1]) or text[-1] in "%€$°")
 
 
-def defect(answer: str | None, question: str | None, extra: str | None, endings: Endings) -> str | None:
+def defect(answer: str | None, question: str | None, extra: str | None, endings: Endings | _Asked) -> str | None:
     """The defect of an answer, or none."""
     if is_empty(answer):
         return "empty"
@@ -355,33 +385,71 @@ def conversation_answer(text: str | None) -> tuple[str | None, str | None, bool]
     return asked[-1] if asked else None, answer if isinstance(answer, str) else None, True
 
 
+def _answers(b: pa.RecordBatch) -> Iterator[tuple[str | None, str | None, str | None]]:
+    """(question, extra, answer) of each row, the last answer where a row holds a conversation."""
+    columns = [b.column(i).to_pylist() for i in range(3, 6)]
+    for question, extra, answer in zip(*columns, strict=True):
+        if question is None and extra is None and answer is not None and answer.lstrip()[:1] == "[":
+            question, answer, _ = conversation_answer(answer)
+        yield question, extra, answer
+
+
 def _scan(endings: Endings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, kinds = [], []
-            columns = [b.column(i).to_pylist() for i in range(3, 6)]
-            for i, (question, extra, answer) in enumerate(zip(*columns, strict=True)):
-                if question is None and extra is None and answer is not None and answer.lstrip()[:1] == "[":
-                    question, answer, _ = conversation_answer(answer)
+            for i, (question, extra, answer) in enumerate(_answers(b)):
                 kind = defect(answer, question, extra, endings)
                 if kind:
                     rows.append(i)
                     kinds.append(kind)
-            keys = b.select(["table_name", "line_no", "field_name"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(kinds, pa.string())], ["table_name", "line_no", "field_name", "defect"])
+            keys = b.select(_KEYS).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(kinds, pa.string())], [*_KEYS, "defect"])
 
     return run
 
 
-def fit_endings(answers: DataFrame, fit_rows: int = FIT_ROWS) -> Endings:
-    """The terminal model, from at most ``fit_rows`` answers that end with a full stop, taken by hash.
-
-    Answers are counted first, so that hardly more than ``fit_rows`` of them leave the executors at any size.
-    """
-    whole = answers.where(F.col("answer").rlike("[.!?。！？]\\s*$")).select("answer", F.xxhash64("table_name", "line_no", "field_name").alias("h"))
-    share = min(1.0, fit_rows / max(whole.count(), 1))
-    some = whole.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
-    return Endings(r.answer for r in some.orderBy("h", "answer").limit(fit_rows).collect())
+_KEYS = ["table_name", "line_no", "field_name"]
+_FOUND = "table_name string, line_no bigint, field_name string, defect string"
+#: Of a first pass: defects with the first and last trigram they hang on, and counts of trigrams, in rows of their own.
+_READ = f"{_FOUND}, asked string, asked_last string, trigram string, final bigint, inner bigint"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _READ.split(", ")]
+    words: Counter[str] = Counter()
+    letters = 0
+
+    def counts() -> pa.RecordBatch:
+        model = Endings()
+        model.count(words)
+        # a trigram that nothing can ask for is not handed on
+        seen = sorted(x for x in model.final.keys() | model.inner.keys() if _ending(x))
+        blank = [pa.nulls(len(seen), pa.int64() if x == "line_no" else pa.string()) for x in names[:6]]
+        sums = [pa.array([c[x] for x in seen], pa.int64()) for c in (model.final, model.inner)]
+        return pa.RecordBatch.from_arrays([*blank, pa.array(seen, pa.string()), *sums], names)
+
+    for b in batches:
+        rows, kinds, first, last = [], [], [], []
+        for i, (question, extra, answer) in enumerate(_answers(b)):
+            asked = _Asked()
+            kind = defect(answer, question, extra, asked)
+            if kind:
+                rows.append(i)
+                kinds.append(kind)
+                first.append(asked.trigrams[0] if asked.trigrams else None)
+                last.append(asked.trigrams[-1] if asked.trigrams else None)
+            if answer and answer.rstrip().endswith(_WHOLE):
+                words.update(_WORD.findall(answer.lower()))
+                letters += len(answer)
+            if letters >= COUNTED_AT_ONCE:
+                yield counts()
+                words.clear()
+                letters = 0
+        keys = b.select(_KEYS).take(pa.array(rows, pa.int64()))
+        blank = [pa.nulls(len(rows), x) for x in (pa.string(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(x, pa.string()) for x in (kinds, first, last)), *blank], names)
+    yield counts()
 
 
 def defects(answers: DataFrame, endings: Endings | None = None) -> DataFrame:
@@ -389,6 +457,19 @@ def defects(answers: DataFrame, endings: Endings | None = None) -> DataFrame:
 
     ``answers`` has table_name, line_no, field_name, question, extra and answer; where question and
     extra are null, the answer may be the JSON text of a whole conversation.
+
+    Without ``endings`` the terminal model is counted over all answers that end with a full stop, in
+    the pass that looks for defects. A defect that hangs on the model stands if every trigram asked
+    for (one, or one more for the repaired text) proves to be broken off, else there is none.
     """
-    some = answers.select("table_name", "line_no", "field_name", "question", "extra", "answer")
-    return some.mapInArrow(_scan(endings or fit_endings(some)), "table_name string, line_no bigint, field_name string, defect string")
+    some = answers.select(*_KEYS, "question", "extra", "answer")
+    if endings is not None:
+        return some.mapInArrow(_scan(endings), _FOUND)
+    read = written(some.mapInArrow(_read, _READ), "answers")
+    sums = read.where("trigram is not null").groupBy("trigram").agg(F.sum("final").alias("final"), F.sum("inner").alias("inner"))
+    cut = sums.where(F.col("final") * INSIDE < F.col("inner")).select("trigram")
+    open_ends = read.where("asked is not null")
+    for asked in ("asked", "asked_last"):
+        open_ends = open_ends.join(cut.withColumnRenamed("trigram", asked), asked, "left_semi")
+    sure = read.where("defect is not null and asked is null")
+    return sure.select(*_KEYS, "defect").unionByName(open_ends.select(*_KEYS, "defect"))
