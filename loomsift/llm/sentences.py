@@ -3,11 +3,11 @@
 A document is cut into blocks at blank lines, a block into headings, list items and
 running text. Running text in spaced scripts becomes a lattice of terminator gaps,
 each classified by the token before it, what closes after it and what opens next.
-In spaceless scripts a full stop, question or exclamation mark ends a unit, unless a
-quotative particle and a verb of saying follow; only what follows a closed quotation
-or an ellipsis is segmented by a lattice over a dictionary of particles, reporting
-verbs and opening words. Quotations and brackets are matched first: gaps inside them
-are no gaps.
+Runs of Chinese, Japanese and Thai letters are segmented whole by a lattice over a
+dictionary of particles, reporting verbs and opening words; every gap there is weighed
+by its mark, the word before it, the word behind it and the clause that follows
+(``WEIGHTS``). A blank between two Thai letters always ends a unit. Quotations and
+brackets are matched first: gaps inside them are no gaps.
 
 Null and blank texts have no units. Texts of any length are scanned whole, in time
 linear in their length.
@@ -52,11 +52,44 @@ REPORTING = frozenset(
     "said says asked asks wrote writes replied replies answered answers added adds noted notes explained reported claimed and in was is or but then of on at from with as for to by "
     "fragte sagte schrieb antwortete meinte und demande dit écrit répond répondit et dijo dice preguntó escribió respondió y спросил сказал написал ответил и".split()
 )
-# Fixed values of the spaceless scripts.
-PARTICLES_AFTER_QUOTE = ("と", "は", "が", "を", "の", "に", "も", "で", "という", "って", "など", "的", "这", "那", "一", "，", "、", "；", "：", ",", "—")
-REPORTING_HAN = ("问道", "说道", "写道", "答道", "问", "说", "道", "写", "回答", "表示", "解释", "补充", "喊", "叫")
-CONTINUING_HAN = ("然后", "但", "可是", "不过", "而", "就", "才", "并", "又", "却", "所以", "因此", "于是", "接着", "还", "也", "そして", "それから", "しかし", "でも", "だが")
-FINAL_PARTICLES = ("了", "吗", "呢", "吧", "啊", "的", "た", "だ", "です", "ます", "か", "ね", "よ", "る", "い")
+# Fixed values of the spaceless scripts: words by what they say about a gap beside them.
+DICTIONARY = {
+    # at the end of a sentence
+    "final": "了 吗 嗎 呢 吧 啊 呀 嘛 的 た だ です ます でした ました ません か ね よ な わ る い ครับ ค่ะ คะ นะ จ้ะ ไหม มั้ย แล้ว เลย",
+    # carry a quotation on to who says it
+    "quote": "と って という といった",
+    # lean on what stands before them, so that they open nothing
+    "after": "と は が を の に も で という といった とは との って など 的",
+    # leave open what stands before them
+    "unfinished": "は が を に へ 在 把 被 和 与 跟 因为 如果 虽然 但 但是 可是 不过 しかし でも だが ถ้า เพราะ แต่ และ",
+    # open a unit, or go on from a quotation
+    "connects": "と言っても と言えば と言うのも と思いきや というのは というか というわけ というより",
+    # may point back at a quotation
+    "points": "这 這 那 一",
+    "report": "问道 問道 说道 說道 写道 寫道 答道 喊道 叫道 问 問 说 說 道 写 寫 回答 答 表示 解释 補充 补充 喊 叫 追问 反问 提问 質問 聞 尋 訊 言 書 思 述べ 語 話し 呟 囁 ถาม กล่าว เขียน ตอบ พูด บอก ร้อง",
+    "goes on": "然后 但 但是 可是 不过 而 就 才 并 又 却 所以 因此 于是 接着 还 也 そして それから しかし でも だが จากนั้น แต่ และ จึง ก็ แล้ว",
+    "opens": (
+        "为什么 怎么 怎样 在 由于 按照 根据 如果 当 没有 因为 虽然 今天 明天 昨天 后来 "
+        "なぜ どうして どう どこ だれ いつ もし もう もっと もちろん もはや はい いいえ はじめ とても とにかく ところが ところで とりあえず とうとう ともかく としたら とすると "
+        "それ これ あれ この その あの ここ そこ また まず まだ さて さらに つまり たとえば できれば できる がんばれ にわか のち のんびり 彼女 彼 私 ทำไม เมื่อ ถ้า เพราะ ตาม"
+    ),
+    # who is spoken to
+    "whom": "我 你 您 他 她 它 我们 你们 他们 她们 着 著 过",
+    # hold a letter or more of the words above and mean something else
+    "word": (
+        "知道 街道 道路 道理 报道 報道 渠道 通道 频道 轨道 味道 难道 小说 小說 传说 听说 据说 说法 疑问 学问 访问 顾问 問題 问题 疑問 学問 訪問 描写 编写 读写 叫做 目的 的确 等待 地方 得到 "
+        "言葉 言語 方言 書類 書式 図書 読書 辞書 文書 新聞 思想 意思 不思議 物語 英語 日本語 単語 答案 一样 一起 那么 那里 这里 写真 คำตอบ คำถาม"
+    ),
+}
+#: What speaks for the end of a unit at a gap of a spaceless script: above 0 it ends one. ``mark`` is where the count begins,
+#: "said" the clause that reports what stands before; of the words behind the gap the strongest speaks.
+WEIGHTS = {
+    "full stop": {"mark": 7, "final": 1, "opens": 1, "goes on": -2, "points": -1, "after": -3},
+    "question": {"mark": 4, "final": 1, "opens": 1, "connects": 1, "goes on": -2, "points": -1, "after": -3, "said": -6},
+    "dot": {"mark": 2.5, "opens": 1, "goes on": -2, "points": -1, "after": -3},
+    "ellipsis": {"mark": 0.5, "final": 1, "unfinished": -2, "opens": 1, "connects": -3, "goes on": -2, "points": -1, "after": -3},
+    "quotation": {"mark": 3, "opens": 1, "connects": -4, "goes on": -2, "points": -4, "after": -4, "said": -6},
+}
 
 _EOL = "\n\r\x0b\x0c\x85  "
 _FLAT = rf"[^\S{_EOL}]*"
@@ -82,7 +115,10 @@ _FRENCH_CLOSE = re.compile(r"[^\S\r\n][»›]")
 _LETTERS_AND_DOTS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
 _TOKEN_BEFORE = re.compile(r"[^\s()\[\]“”«»„‘\":;,!?/]*$")
 _WORD = re.compile(r"[^\W\d_]+")
-_QUOTATIVE = re.compile(r"(?:と|って)[^。！？｡!?]{0,16}?[聞訊尋問言叫答書思]")
+_SPACELESS_RUN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿〇々ก-๛]+")
+_CLAUSE_END = re.compile(r"[.!?…。！？؟۔।॥｡‼⁇⁈⁉：:]|(?<=[ก-๛])\s+(?=[ก-๛])")
+_CLAUSE_PART = re.compile(r"[，,、；;]")
+_HIRAGANA = re.compile(r"[ぁ-ゟ]+")
 _ELLIPSIS = re.compile(r"\.\.\.+|…+")
 
 
@@ -90,6 +126,10 @@ def _han(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or c in "〇々ー"
 
 
+def _spaceless(c: str) -> bool:
+    return _han(c) or "ก" <= c <= "๛"
+
+
 def _pairs(text: str, s: int, e: int) -> list[tuple[int, int, bool]]:
     """Outermost quotations and brackets of a stretch: (open, close, is a bracket). What stays open is none."""
     marks = [(m.start(), m.group()) for m in _PAIRED.finditer(text, s, e)]
@@ -138,55 +178,50 @@ def _pairs(text: str, s: int, e: int) -> list[tuple[int, int, bool]]:
 
 
 @cache
-def _dictionary() -> dict[str, str]:
-    words = dict.fromkeys(FINAL_PARTICLES, "final")
-    words |= dict.fromkeys(PARTICLES_AFTER_QUOTE, "after")
-    words |= dict.fromkeys(REPORTING_HAN, "report")
-    words |= dict.fromkeys(CONTINUING_HAN, "goes on")
-    return words
+def _dictionary() -> dict[str, list[tuple[str, frozenset[str]]]]:
+    """Words with their classes, by first letter."""
+    classes: dict[str, set[str]] = {}
+    for kind, words in DICTIONARY.items():
+        for w in words.split():
+            classes.setdefault(w, set()).add(kind)
+    found: dict[str, list[tuple[str, frozenset[str]]]] = {}
+    for w, kinds in sorted(classes.items()):
+        found.setdefault(w[0], []).append((w, frozenset(kinds)))
+    return found
+
+
+_NO_CLASS: frozenset[str] = frozenset()
+#: Classes that speak where they stand before a gap.
+_BEFORE = frozenset(("final", "unfinished"))
+#: The least that the words beside a gap can leave, where nothing behind it reports.
+_LEAST = {gap: w["mark"] + min(0, *(w.get(k, 0) for k in _BEFORE)) + min(x for k, x in w.items() if k not in _BEFORE | {"mark", "said"}) for gap, w in WEIGHTS.items()}
 
 
-def lattice(text: str) -> list[tuple[int, int, str]]:
-    """The cheapest path through the dictionary-word lattice of spaceless text: (start, end, class) of its words.
+def lattice(text: str) -> list[tuple[int, int, frozenset[str]]]:
+    """The cheapest path through the dictionary-word lattice of spaceless text: (start, end, classes) of its words.
 
     A dictionary word costs 1, a character outside every word 1.5; longer words win.
     """
     words = _dictionary()
-    longest = max(map(len, words))
     n = len(text)
     cost = [0.0] + [1e9] * n
-    back: list[tuple[int, str]] = [(0, "")] * (n + 1)
-    for at in range(n):
-        if cost[at] + 1.5 < cost[at + 1]:
-            cost[at + 1], back[at + 1] = cost[at] + 1.5, (at, "")
-        for k in range(1, min(longest, n - at) + 1):
-            kind = words.get(text[at : at + k])
-            if kind and cost[at] + 1 < cost[at + k]:
-                cost[at + k], back[at + k] = cost[at] + 1, (at, kind)
+    back: list[tuple[int, frozenset[str]]] = [(0, _NO_CLASS)] * (n + 1)
+    for at, c in enumerate(text):
+        here = cost[at]
+        if here + 1.5 < cost[at + 1]:
+            cost[at + 1], back[at + 1] = here + 1.5, (at, _NO_CLASS)
+        for w, kinds in words.get(c, ()):
+            end = at + len(w)
+            if end <= n and here + 1 < cost[end] and text.startswith(w, at):
+                cost[end], back[end] = here + 1, (at, kinds)
     path, at = [], n
     while at:
-        start, kind = back[at]
-        path.append((start, at, kind))
+        start, kinds = back[at]
+        path.append((start, at, kinds))
         at = start
     return path[::-1]
 
 
-def _opening_class(text: str, at: int, end: int) -> str:
-    """Class of the dictionary word that the stretch opens with, by the lattice of its first clause."""
-    clause = text[at : min(end, at + 12)]
-    path = lattice(clause)
-    return path[0][2] if path else ""
-
-
-def _reports(text: str, at: int, end: int) -> bool:
-    """Whether the clause from ``at`` to its terminator is a reporting clause: short, with a reporting verb at its end."""
-    m = _GAP.search(text, at, end)
-    clause = text[at : m.start() if m else end].strip()
-    if not clause or len(clause) > 24:
-        return False
-    return any(clause.endswith(v) for v in REPORTING_HAN) or any(f"{v}" in clause[-4:] for v in ("問", "尋", "言", "書", "答"))
-
-
 class _Stretch:
     """Running text between two blank lines, headings and items left out."""
 
@@ -194,6 +229,7 @@ class _Stretch:
         self.text, self.s, self.e = text, s, e
         self.pairs = _pairs(text, s, e)
         self.opens = [p[0] for p in self.pairs]
+        self.segmented: dict[int, dict[int, tuple[int, frozenset[str]]]] = {}
 
     @cached_property
     def lower(self) -> bool:
@@ -203,6 +239,91 @@ class _Stretch:
             return True
         return bool(_LOWER_GAP.search(self.text, self.s, self.e))
 
+    @cached_property
+    def runs(self) -> list[tuple[int, int]]:
+        """(start, end) of the spaceless runs."""
+        return [m.span() for m in _SPACELESS_RUN.finditer(self.text, self.s, self.e)]
+
+    def words(self, at: int) -> dict[int, tuple[int, frozenset[str]]]:
+        """(end, classes) by start, of the words of the whole run that ``at`` lies in; none outside a run."""
+        k = bisect_right(self.runs, (at, len(self.text))) - 1
+        if k < 0 or at >= self.runs[k][1]:
+            return {}
+        start, end = self.runs[k]
+        if start not in self.segmented:
+            self.segmented[start] = {start + a: (start + b, kinds) for a, b, kinds in lattice(self.text[start:end])}
+        return self.segmented[start]
+
+    def opening(self, at: int) -> frozenset[str]:
+        """Classes of the word that begins at ``at``."""
+        return self.words(at).get(at, (at, _NO_CLASS))[1]
+
+    def closing(self, at: int) -> frozenset[str]:
+        """Classes of the word that ends before ``at``."""
+        words = self.words(at - 1)
+        return next(reversed(words.values()), (at, _NO_CLASS))[1]
+
+    def _clause_words(self, at: int, end: int) -> Iterator[tuple[int, int, frozenset[str]]]:
+        while at < end:
+            words = self.words(at)
+            if not words:
+                yield at, at + 1, _NO_CLASS
+                at += 1
+            while at < end and at in words:
+                stop, kinds = words[at]
+                yield at, stop, kinds
+                at = stop
+
+    def _reports(self, at: int) -> bool:
+        """Whether the clause from ``at`` reports what was said: in a part of it only an ending or a pronoun follows a reporting verb."""
+        m = _CLAUSE_END.search(self.text, at, self.e)
+        if m and m.group() in "：:":
+            return False  # it leads to what is said next
+        end = m.start() if m else self.e
+        for part in [*(x.start() for x in _CLAUSE_PART.finditer(self.text, at, end)), end]:
+            reported = False
+            for a, b, kinds in self._clause_words(at, part):
+                if "report" in kinds:
+                    reported = True
+                elif not (kinds & {"final", "whom"} or _HIRAGANA.fullmatch(self.text, a, b)):
+                    reported = False
+            if reported:
+                return True
+            at = part + 1
+        return False
+
+    def _asks(self, at: int) -> bool:
+        """Whether a quotative particle opens the clause from ``at`` and a reporting verb stands in it."""
+        if "quote" not in self.opening(at):
+            return False
+        m = _GAP.search(self.text, at, self.e)
+        return any("report" in kinds for _, _, kinds in self._clause_words(at, m.start() if m else self.e))
+
+    def _weigh(self, gap: str, mark: int, nxt: int, said: bool) -> bool:
+        """Whether a unit ends at a gap of a spaceless script, whose mark stands at ``mark`` and behind which ``nxt`` follows."""
+        weights = WEIGHTS[gap]
+        if not said and _LEAST[gap] > 0:
+            return True  # no word outweighs the mark
+        behind = [weights[k] for k in self.opening(nxt) - _BEFORE if k in weights]
+        if said:
+            behind.append(weights.get("said", 0))
+        before = sum(weights.get(k, 0) for k in self.closing(mark) & _BEFORE)
+        return weights["mark"] + before + max(behind, key=abs, default=0) > 0
+
+    def _spaceless_gap(self, mark: str, blank: bool, before: str, c: str) -> str:
+        """The kind of a gap in ``WEIGHTS``; empty where no spaceless script is concerned."""
+        if not (_spaceless(before) or _spaceless(c)):
+            return ""
+        if mark[-1] in "。｡":
+            return "full stop"
+        if mark[-1] in "！？‼⁇⁈⁉" or mark[-1] in "!?" and _spaceless(c):
+            return "question"
+        if mark[0] == "…" or _ELLIPSIS.fullmatch(mark):
+            return "ellipsis"
+        if mark[-1] == "." and not blank and _han(c):
+            return "full stop" if _han(before) else "dot"
+        return ""
+
     def enclosing(self, at: int) -> tuple[int, int, bool] | None:
         k = bisect_right(self.opens, at) - 1
         return self.pairs[k] if k >= 0 and self.pairs[k][0] < at <= self.pairs[k][1] else None
@@ -244,7 +365,7 @@ class _Stretch:
                         unit = stop
                     continue
                 at = stop
-                if self._after_quote(stop, inside[0] == _SPACE.match(text, unit, e).end(), inside[0]):
+                if self._after_quote(stop, inside[0] == _SPACE.match(text, unit, e).end(), inside[0], m.start()):
                     cuts.append(stop)
                     unit = stop
                 continue
@@ -277,8 +398,8 @@ class _Stretch:
             return self.lower or mark in ("?", "!", "?!", "!!") or bool(mark)
         return True
 
-    def _after_quote(self, stop: int, leads: bool, opened: int) -> bool:
-        """Whether a unit ends with a quotation whose last character is a terminator. leads: the unit began with it."""
+    def _after_quote(self, stop: int, leads: bool, opened: int, mark: int) -> bool:
+        """Whether a unit ends with a quotation whose last character is a terminator, at ``mark``. leads: the unit began with it."""
         text, e = self.text, self.e
         nxt = _SPACE.match(text, stop, e).end()
         if nxt >= e:
@@ -286,11 +407,8 @@ class _Stretch:
         c = text[nxt]
         if c in ",;:—–，、；：-،":
             return False
-        if _han(c) or (_han(text[stop - 2]) if stop - 2 >= self.s else False):
-            kind = _opening_class(text, nxt, e)
-            if kind == "after":
-                return False
-            return not (leads and _reports(text, nxt, e))
+        if _spaceless(c):
+            return self._weigh("quotation", mark, nxt, leads and self._reports(nxt))
         if c.islower():
             word = _WORD.match(text, nxt, e)
             if not word:
@@ -310,13 +428,12 @@ class _Stretch:
         blank = nxt > stop
         c = text[nxt]
         before = text[m.start() - 1] if m.start() > s else " "
-        if not blank and mark[-1] in "！？‼⁇⁈⁉!?" and _QUOTATIVE.match(text, nxt, e):
-            return False  # an unquoted question, then who asks it
+        if gap := self._spaceless_gap(mark, blank, before, c):
+            if gap == "ellipsis" and c in ",;:—–，、；：":
+                return False
+            return self._weigh(gap, m.start(), nxt, gap == "question" and not blank and self._asks(nxt))
         if mark[-1] in "。！？｡؟۔।॥‼⁇⁈⁉":
             return True
-        if mark[0] in "…" and (_han(before) or _han(c)):
-            kind = _opening_class(text, nxt, e)
-            return kind not in ("goes on", "after")
         if not blank:
             return self._unspaced(m, stop, mark, before, c)
         if c in ",;:" or (c in "—–" and mark[-1] in ".…" and text[nxt + 1 : nxt + 2].isspace() and mark != "."):
