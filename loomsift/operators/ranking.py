@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,39 +41,61 @@ def joined_on(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inne
     return df.join(renamed, same, how).select(*df.columns, *rest)
 
 
-def static_fill(items: DataFrame, order: list[Column], budget: int, block: int = 10_000) -> DataFrame:
-    """(id, tokens) of the items taken one after the other in order, each that still fits the budget.
+class Filled(NamedTuple):
+    """What a fill takes of a placed table: the rows under ``whole`` and those in ``rows``; ``left`` of the budget remains."""
 
-    Items are range-partitioned in that order. Whole partitions are taken while they fit; from the one
-    in which the budget runs out, the next ``block`` items that can still fit come to the driver at a
-    time, until none is left.
-    """
-    spark = items.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole: Column
+    rows: list[tuple]
+    left: int
+
+
+def placed(items: DataFrame, order: list[Column]) -> DataFrame:
+    """(id, tokens, place) of the items with a size, written; ``place`` rises in the order, ties by id, and no two rows share it."""
+    n = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [f"_k{i}" for i in range(len(order))]
     ranged = items.select("id", "tokens", *(c.alias(k) for c, k in zip(order, keys, strict=True))).where("tokens is not null")
-    parted = written(ranged.repartitionByRange(n, *keys, "id").withColumn("part", F.spark_partition_id()), "fill")
-    sums = {r.part: r.total for r in parted.groupBy("part").agg(F.sum("tokens").alias("total")).collect()}
-    whole, left = [], budget
-    for part in sorted(sums):
-        if sums[part] > left:
-            break
-        whole.append(part)
-        left -= sums[part]
-    taken: list[tuple] = []
-    rest = parted.where(~F.col("part").isin(whole)) if whole else parted
-    at = None
+    ordered = ranged.repartitionByRange(n, *keys, "id").sortWithinPartitions(*keys, "id", "tokens")
+    return written(ordered.select("id", "tokens", F.monotonically_increasing_id().alias("place")), "fill")
+
+
+def fill(table: DataFrame, budget: int, block: int = 10_000) -> Filled:
+    """The rows of a placed table taken one after the other, each that still fits the budget.
+
+    Each pass sums the rows that can still fit by blocks of ``block`` places. Whole blocks are taken while
+    they fit; the one in which the budget runs out comes to the driver, and the next pass goes on behind it.
+    """
+    whole, rows, left, at = F.lit(False), [], budget, 0
+    place, tokens = F.col("place"), F.col("tokens")
     while True:
-        fits = rest.where(F.col("tokens") <= left)
-        if at is not None:
-            fits = fits.where(F.struct(*keys, "id") > F.struct(*(F.lit(x) for x in at)))
-        batch = fits.orderBy(*keys, "id").limit(block).collect()
-        for r in batch:
+        fits = table.where((place >= at) & (tokens <= left))
+        sums = sorted(fits.groupBy(F.expr(f"place div {block}").alias("block")).agg(F.sum("tokens").alias("total")).collect())
+        if not sums:
+            return Filled(whole, rows, left)
+        limit, split = left, None
+        for r in sums:
+            if r.total > left:
+                split = r.block
+                break
+            left -= r.total
+        end = (sums[-1].block + 1 if split is None else split) * block
+        if split != sums[0].block:
+            whole = whole | ((place >= at) & (place < end) & (tokens <= limit))
+        if split is None:
+            return Filled(whole, rows, left)
+        at = end + block
+        for r in sorted(table.where((place >= end) & (place < at) & (tokens <= left)).select("place", "id", "tokens").collect(), key=lambda r: r.place):
             if r.tokens <= left:
-                taken.append((r.id, r.tokens))
+                rows.append((r.id, r.tokens))
                 left -= r.tokens
-        if len(batch) < block:
-            break
-        at = [batch[-1][k] for k in keys] + [batch[-1].id]
-    first = parted.where(F.col("part").isin(whole)).select("id", "tokens") if whole else parted.where("false").select("id", "tokens")
-    return first.unionByName(spark.createDataFrame(taken, first.schema)) if taken else first
+
+
+def chosen(table: DataFrame, filled: Filled) -> DataFrame:
+    """(id, tokens) of what a fill takes of a placed table."""
+    first = table.where(filled.whole).select("id", "tokens")
+    return first.unionByName(table.sparkSession.createDataFrame(filled.rows, first.schema)) if filled.rows else first
+
+
+def static_fill(items: DataFrame, order: list[Column], budget: int, block: int = 10_000) -> DataFrame:
+    """(id, tokens) of the items taken one after the other in order, each that still fits the budget."""
+    table = placed(items, order)
+    return chosen(table, fill(table, budget, block))

@@ -22,8 +22,8 @@ def random_fill(items: DataFrame, budget: int, seed: str = "select") -> DataFram
 
 
 def utility_fill(items: DataFrame, budget: int) -> DataFrame:
-    """Items by falling utility, ties by id, as long as they fit."""
-    return static_fill(items, [-F.col("utility")], budget)
+    """Items by falling utility, those without one last, ties by id, as long as they fit."""
+    return static_fill(items, [F.col("utility").isNull(), -F.col("utility")], budget)
 
 
 def covered_fill(items: DataFrame, budget: int, attribute: str, needs: dict[str, int], seed: str = "select") -> DataFrame:
