@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,57 +43,62 @@ def joined_on(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inne
 
 
 class Filled(NamedTuple):
-    """What a fill takes of a placed table: the rows under ``whole`` and those in ``rows``; ``left`` of the budget remains."""
+    """What a fill takes of a placed table: the rows under ``whole`` and those in ``rows``, ``count`` together; ``left`` of the budget remains."""
 
     whole: Column
     rows: list[tuple]
     left: int
+    count: int
 
 
-def placed(items: DataFrame, order: list[Column]) -> DataFrame:
-    """(id, tokens, place) of the items with a size, written; ``place`` rises in the order, ties by id, and no two rows share it."""
+def placed(items: DataFrame, order: list[Column], *others: str) -> DataFrame:
+    """(id, tokens, place, others) of the items with a size, written; ``place`` rises in the order, ties by id, and no two rows share it."""
     n = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [f"_k{i}" for i in range(len(order))]
-    ranged = items.select("id", "tokens", *(c.alias(k) for c, k in zip(order, keys, strict=True))).where("tokens is not null")
+    ranged = items.select("id", "tokens", *others, *(c.alias(k) for c, k in zip(order, keys, strict=True))).where("tokens is not null")
     ordered = ranged.repartitionByRange(n, *keys, "id").sortWithinPartitions(*keys, "id", "tokens")
-    return written(ordered.select("id", "tokens", F.monotonically_increasing_id().alias("place")), "fill")
+    return written(ordered.select("id", "tokens", F.monotonically_increasing_id().alias("place"), *others), "fill")
 
 
-def fill(table: DataFrame, budget: int, block: int = 10_000) -> Filled:
-    """The rows of a placed table taken one after the other, each that still fits the budget.
+def fill(table: DataFrame, budget: int, block: int = 10_000, most: int | None = None) -> Filled:
+    """The rows of a placed table taken one after the other, each that still fits the budget, until there are ``most``.
 
     Each pass sums the rows that can still fit by blocks of ``block`` places. Whole blocks are taken while
-    they fit; the one in which the budget runs out comes to the driver, and the next pass goes on behind it.
+    they fit; the one in which the budget or number runs out comes to the driver, and the next pass goes on behind it.
     """
-    whole, rows, left, at = F.lit(False), [], budget, 0
+    whole, rows, left, at, count = F.lit(False), [], budget, 0, 0
+    most = math.inf if most is None else most
     place, tokens = F.col("place"), F.col("tokens")
-    while True:
+    while count < most:
         fits = table.where((place >= at) & (tokens <= left))
-        sums = sorted(fits.groupBy(F.expr(f"place div {block}").alias("block")).agg(F.sum("tokens").alias("total")).collect())
+        sums = sorted(fits.groupBy(F.expr(f"place div {block}").alias("block")).agg(F.sum("tokens").alias("total"), F.count("*").alias("n")).collect())
         if not sums:
-            return Filled(whole, rows, left)
+            break
         limit, split = left, None
         for r in sums:
-            if r.total > left:
+            if r.total > left or count + r.n > most:
                 split = r.block
                 break
             left -= r.total
+            count += r.n
         end = (sums[-1].block + 1 if split is None else split) * block
         if split != sums[0].block:
             whole = whole | ((place >= at) & (place < end) & (tokens <= limit))
         if split is None:
-            return Filled(whole, rows, left)
+            break
         at = end + block
         for r in sorted(table.where((place >= end) & (place < at) & (tokens <= left)).select("place", "id", "tokens").collect(), key=lambda r: r.place):
-            if r.tokens <= left:
-                rows.append((r.id, r.tokens))
+            if r.tokens <= left and count < most:
+                rows.append((r.id, r.tokens, r.place))
                 left -= r.tokens
+                count += 1
+    return Filled(whole, rows, left, count)
 
 
 def chosen(table: DataFrame, filled: Filled) -> DataFrame:
     """(id, tokens) of what a fill takes of a placed table."""
-    first = table.where(filled.whole).select("id", "tokens")
-    return first.unionByName(table.sparkSession.createDataFrame(filled.rows, first.schema)) if filled.rows else first
+    first = table.where(filled.whole).select("id", "tokens", "place")
+    return (first.unionByName(table.sparkSession.createDataFrame(filled.rows, first.schema)) if filled.rows else first).select("id", "tokens")
 
 
 def static_fill(items: DataFrame, order: list[Column], budget: int, block: int = 10_000) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomsift.operators.ranking import seeded, static_fill
+from loomsift.operators.ranking import chosen, fill, placed, seeded, static_fill
 
 MOST_CAPABILITIES = 1000
 #: Rows that the greedy diversity orders hold on the driver at a time; the table can be of any size.
@@ -27,26 +28,24 @@ def utility_fill(items: DataFrame, budget: int) -> DataFrame:
 
 
 def covered_fill(items: DataFrame, budget: int, attribute: str, needs: dict[str, int], seed: str = "select") -> DataFrame:
-    """Items in hashed order: first, for each value of the attribute, until its least number is met, then any that fit.
+    """Items in hashed order that fit: first, for each value of the attribute, until its least number is met, then any.
 
     A value with too few items that fit is an error.
     """
-    chosen = None
-    left = budget
+    table = placed(items, [seeded(seed, "id")], attribute)
+    left, parts, rest, singles = budget, [], table, []
     for value, least in sorted(needs.items()):
-        own = items.where(F.col(attribute) == value)
-        if chosen is not None:
-            own = own.join(chosen.select("id"), "id", "left_anti")
-        first = own.withColumn("_o", seeded(seed, "id")).orderBy("_o", "id").limit(least).select("id", "tokens")
-        size = first.agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).first()
-        if size.n < least or (size.t or 0) > left:
+        own = table.where(F.col(attribute) == value)
+        first = fill(own, left, most=least)
+        if first.count < least:
             raise ValueError(f"the budget cannot cover {least} of {attribute} = {value}")
-        left -= size.t or 0
-        chosen = first if chosen is None else chosen.unionByName(first)
-    if chosen is None:
-        return random_fill(items, budget, seed)
-    rest = items.join(chosen.select("id"), "id", "left_anti").select("id", "tokens")
-    return chosen.unionByName(random_fill(rest, left, seed))
+        left = first.left
+        parts.append(chosen(own, first))
+        singles += [(place,) for _, _, place in first.rows]
+        rest = rest.where(~(F.col(attribute).eqNullSafe(F.lit(value)) & first.whole))
+    if singles:
+        rest = rest.join(F.broadcast(items.sparkSession.createDataFrame(singles, "place bigint")), "place", "left_anti")
+    return reduce(DataFrame.unionByName, [*parts, chosen(rest, fill(rest, left))])
 
 
 def shortlist(items: DataFrame, budget: int, factor: float = 4.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -40,3 +41,40 @@ def test_blocks_of_any_size(spark, block, budget):
 def test_items_without_utility_come_last(spark):
     df = spark.createDataFrame([(1, 5, None), (2, 5, 0.5), (3, 5, 2.0)], "id bigint, tokens bigint, utility double")
     assert {r.id for r in selection.utility_fill(df, 10).collect()} == {2, 3}
+
+
+def slow_cover(items, budget, needs):
+    """Ids by plain loops; items are (id, tokens, attribute)."""
+    items = sorted(items, key=lambda x: hashlib.sha256(f"select:{x[0]}".encode()).hexdigest())
+    taken = []
+    for value, least in [*sorted(needs.items()), (None, len(items))]:
+        here = 0
+        for x in items:
+            if x not in taken and value in (None, x[2]) and x[1] <= budget and here < least:
+                taken.append(x)
+                budget -= x[1]
+                here += 1
+        assert value is None or here == least
+    return {x[0] for x in taken}
+
+
+@pytest.mark.parametrize("budget", [300, 900])
+def test_covered_fill_of_many_items(spark, budget):
+    items = [(i, i * 7919 % 60 + 1, "de" if i % 7 == 0 else "fr" if i % 7 == 1 else None) for i in range(24_000)]
+    df = spark.range(24_000).select("id", (F.col("id") * 7919 % 60 + 1).alias("tokens"), F.when(F.col("id") % 7 == 0, "de").when(F.col("id") % 7 == 1, "fr").alias("lang"))
+    got = [r.id for r in selection.covered_fill(df, budget, "lang", {"de": 4, "fr": 3}).collect()]
+    assert len(got) == len(set(got)) and set(got) == slow_cover(items, budget, {"de": 4, "fr": 3})
+
+
+@pytest.mark.parametrize("needs", [{"de": 6}, {"de": 40, "en": 45}, {"en": 0}, {}])
+def test_covered_fill_passes_over_items_that_do_not_fit(spark, monkeypatch, needs):
+    monkeypatch.setattr(ranking.fill, "__defaults__", (16, None))
+    items = [(i, 5_000 if i % 3 == 0 else i % 4, "de" if i % 2 else "en") for i in range(160)]
+    got = [r.id for r in selection.covered_fill(spark.createDataFrame(items, "id bigint, tokens bigint, lang string"), 400, "lang", needs).collect()]
+    assert len(got) == len(set(got)) and set(got) == slow_cover(items, 400, needs)
+
+
+def test_too_few_that_fit_are_an_error(spark):
+    df = spark.createDataFrame([(1, 5, "de"), (2, 500, "de"), (3, 5, "en")], "id bigint, tokens bigint, lang string")
+    with pytest.raises(ValueError):
+        selection.covered_fill(df, 100, "lang", {"de": 2})
