@@ -78,3 +78,11 @@ def test_too_few_that_fit_are_an_error(spark):
     df = spark.createDataFrame([(1, 5, "de"), (2, 500, "de"), (3, 5, "en")], "id bigint, tokens bigint, lang string")
     with pytest.raises(ValueError):
         selection.covered_fill(df, 100, "lang", {"de": 2})
+
+
+@pytest.mark.parametrize("budget", [30, 2_000, 400_000])
+def test_random_fill_of_many_items(spark, budget):
+    items = [(i - 9_000, i * 7919 % 50) for i in range(26_000)]
+    df = spark.range(26_000).select((F.col("id") - 9_000).alias("id"), (F.col("id") * 7919 % 50).alias("tokens"))
+    got = [r.id for r in selection.random_fill(df, budget, "s").collect()]
+    assert len(got) == len(set(got)) and set(got) == slow_fill(items, lambda x: hashlib.sha256(f"s:{x[0]}".encode()).hexdigest(), budget)
